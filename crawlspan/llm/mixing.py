@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 #: Ranges of one source hold about so many rows.
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 4000
 MAX_EPOCHS = 3
 
 
