@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, token_counts, toxicity
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_token_counts": token_counts.query,
+    "op3_decontamination": decontaminate.query,
     "op5_mixing": mixing.query,
+    "op6_topk": topk.query,
+    "op7_line_dedup": line_dedup.query,
+    "op8_html": html_extract.query,
     "op10_toxicity": toxicity.query,
 }
-ORACLE = {"op5_mixing": mixing.SQL}
+ORACLE = {"op5_mixing": mixing.SQL, "op6_topk": topk.SQL}
