@@ -32,8 +32,8 @@ _WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 CHUNK = 1 << 16
 LIMIT = 512
-#: Kept pieces and transitions; beyond that, both tables start anew.
-KEEP = 400_000
+#: Kept pieces and transitions; beyond that, the tables start anew.
+KEEP, MOVES = 800_000, 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -86,7 +86,7 @@ class Transducer:
 
     def may_follow(self, s: bytes, t: bytes) -> bool:
         if (r := self.follows.get((s, t))) is None:
-            if len(self.follows) > 4 * KEEP:
+            if len(self.follows) > KEEP:
                 self.follows.clear()
             r = self.follows[s, t] = self.merge(s + t) == [s, t]
         return r
@@ -125,7 +125,7 @@ class Transducer:
         try:
             return sum(map(pieces.__getitem__, found))
         except KeyError:
-            if len(pieces) > KEEP or len(self.moves) > 4 * KEEP:
+            if len(pieces) > KEEP or len(self.moves) > MOVES:
                 self._clear()
                 pieces = self.pieces
             for p in set(found).difference(pieces):
