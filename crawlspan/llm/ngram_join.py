@@ -27,6 +27,7 @@ WORDS = 5
 #: Links: SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (80, 100)
 FRAGMENTS = 8
+#: Bits of the map that candidates are compared by first, for sets of up to as many members.
 BITS = 1024
 #: Classes in a run whose pairs are all candidates.
 RUN = 48
@@ -61,9 +62,21 @@ def sql_needed(n: Column) -> Column:
     return F.ceil(n * a / F.lit(a + b)).cast("long") if (a, b) != (80, 100) else F.floor((n * 4 + 8) / 9).cast("long")
 
 
-def bits(s: np.ndarray) -> list[int]:
-    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+def bits(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes by their low bits; at least as many as the set has members."""
+    size = max(BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Differing parities, a lower bound of the symmetric difference; the longer map is folded to the shorter."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
 
 
 def profile(batches):
@@ -193,6 +206,13 @@ def runs(batches):
             yield frame(1, *map(np.concatenate, zip(*rows, strict=True)))
 
 
+def close(batches):
+    for b in batches:
+        total = b["n"].to_numpy(np.int64) + b["m"].to_numpy(np.int64)
+        differ = np.array([differing(x, y) for x, y in zip(b["bits_a"], b["bits_b"], strict=True)], np.int64)
+        yield b.loc[differ <= total - 2 * needed(total), ["a", "b", "n", "m"]]
+
+
 def fragments(batches):
     width = 64 - (FRAGMENTS - 1).bit_length()
     for b in batches:
@@ -223,7 +243,7 @@ class Join:
         spark = docs.sparkSession
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.src = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-        got = cut(self.src.mapInPandas(profile, f"kind int, doc_id {kind}, tkey long, n long, a long, bits array<long>"))
+        got = cut(self.src.mapInPandas(profile, f"kind int, doc_id {kind}, tkey long, n long, a long, bits binary"))
         self.rows = got.where("kind = 0").select("doc_id", "tkey", "n", "a")
         self.maps = got.where("kind = 0 and n > 0").groupBy("a").agg(F.first("bits").alias("bits"), F.min("tkey").alias("tkey"))
         # at most the mean set size times blocks' share: see README for its bound
@@ -239,9 +259,7 @@ class Join:
         """Pairs whose bit maps differ in no more places than linked sets can."""
         left = self.maps.select("a", F.col("bits").alias("bits_a"))
         right = self.maps.select(F.col("a").alias("b"), F.col("bits").alias("bits_b"))
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y.cast("int"))
-        total = F.col("n") + F.col("m")
-        return pairs.join(left, "a").join(right, "b").where(differ <= total - 2 * sql_needed(total)).select("a", "b", "n", "m")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "bits_a", "bits_b").mapInPandas(close, "a long, b long, n int, m int")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Pairs that link, by overlaps counted per fragment and summed per pair."""
