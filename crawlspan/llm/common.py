@@ -18,7 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawlspan-ckpt-"))
-    return df.checkpoint(eager=True)
+    # without constraints: those a checkpoint keeps may name columns that later unions can't resolve
+    key = "spark.sql.constraintPropagation.enabled"
+    was = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, was)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

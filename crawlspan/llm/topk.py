@@ -61,24 +61,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     coded = lambda df: df.where(F.col("vector").isNotNull()).select("id", code(F.col("vector"), dims).alias("code"))
     base = cut(smallest(coded(rows).distinct(), ["code"], ["id"], k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = coded(queries).distinct()
-    open_ = cut(asked.select(F.col("code").alias("q")).distinct())
+    # within: the query's k-th verified distance so far; nothing farther can be in its result
+    open_ = cut(asked.select(F.col("code").alias("q"), (F.size("code") * SEGMENT).alias("within")).distinct())
     index = base.select(F.posexplode("code").alias("j", "v"), "code", "ids")
     index = F.broadcast(index) if base.limit(BROADCAST_ROWS // m + 1).count() * m <= BROADCAST_ROWS else index
     best, done = None, []
     for radius in range(SEGMENT + 1):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), radius)]
-        probes = open_.select("q", F.posexplode("q").alias("j", "s")).select("q", "j", F.explode(F.transform(F.array(*[F.lit(x) for x in masks]) if len(masks) < 100 else F.from_json(F.lit(str(masks)), "array<int>"), lambda x: x)).alias("x"), "s")
-        probes = probes.select("q", "j", F.col("s").bitwiseXOR(F.col("x")).alias("v"))
-        seen = probes.join(index, ["j", "v"]).select("q", distance(F.col("q"), F.col("code"), m).alias("distance"), F.explode("ids").alias("id"))
+        probes = open_.select("q", "within", F.posexplode("q").alias("j", "s")).select("q", "within", "j", F.explode(F.transform(F.array(*[F.lit(x) for x in masks]) if len(masks) < 100 else F.from_json(F.lit(str(masks)), "array<int>"), lambda x: x)).alias("x"), "s")
+        probes = probes.select("q", "within", "j", F.col("s").bitwiseXOR(F.col("x")).alias("v")).alias("p")
+        far = distance(F.col("q"), F.col("code"), m)
+        seen = probes.join(index.alias("i"), F.expr("p.j = i.j and p.v = i.v") & (far <= F.col("within"))).select("q", far.alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             seen = seen.unionByName(best)
         # a code can turn up through several segments
         best = cut(smallest(seen.distinct(), ["q"], ["distance", "id"], k))
         bound = m * (radius + 1) - 1
-        full = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).where((F.col("n") >= k) & (F.col("d") <= bound)).select("q")
-        full = cut(full)
+        kth = cut(best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).where(F.col("n") >= k))
+        full = kth.where(F.col("d") <= bound).select("q")
         done.append(best.join(full, "q", "left_semi"))
-        open_ = cut(open_.join(full, "q", "left_anti"))
+        open_ = cut(open_.join(full, "q", "left_anti").join(kth, "q", "left").select("q", F.coalesce("d", F.lit(dims)).alias("within")))
         best = cut(best.join(full, "q", "left_anti"))
         if open_.isEmpty():
             break
