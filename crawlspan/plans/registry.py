@@ -2,5 +2,137 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import urls
+from ..operators import adhoc, crawl, demand, drift, fixes, graph, pricing, recon, structured, templates
+from ..operators.checks import CHECKS
+from ..operators.datasets import DATASETS
+from ..operators.relational import OPS
+from ..sources import adapters, sinks
+from ..streaming import facts
+from .dialect import DUCK, SPARK
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+_AT: list = [None]
+
+
+def ready(spark: SparkSession, sf_dir: str) -> SparkSession:
+    """Views over sf_dir, registered once in a row."""
+    at = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if _AT[0] != at:
+        adapters.register(spark, sf_dir)
+        _AT[0] = at
+    return spark
+
+
+def portable(name: str, sql) -> None:
+    QUERIES[name] = lambda spark, d: ready(spark, d).sql(sql(SPARK))
+    ORACLE[name] = adapters.with_tables(sql(DUCK))
+
+
+def framed(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = lambda spark, d: f(ready(spark, d))
+        if oracle:
+            ORACLE[name] = adapters.with_tables(oracle)
+        return f
+
+    return add
+
+
+for _id, _c in CHECKS.items():
+    _name = "chk_" + _id.replace("-", "_")
+    if _c.sql is not None:
+        portable(_name, _c.sql)
+    else:
+        framed(_name)(lambda spark, i=_id: structured.build(i, spark))
+for _n, _f in DATASETS.items():
+    portable("ds_" + _n, _f)
+for _n, _f in OPS.items():
+    portable("op_" + _n, _f)
+portable("alg_drift", drift.changes)
+portable("alg_drift_staleness", drift.staleness)
+portable("alg_freshness", drift.freshness)
+portable("alg_recon_targets", recon.targets)
+portable("alg_page_state", recon.page_state)
+portable("alg_cluster_rivals", lambda q: recon.cluster_rivals(q, ["blue"]))
+
+# audit
+framed("audit_findings")(lambda s: pricing.report(pricing.run_audit(s)))
+framed("audit_summary")(lambda s: pricing.summary(pricing.run_audit(s)))
+framed("audit_recommendations")(lambda s: pricing.recommendations(pricing.run_audit(s, judgement=False)))
+
+# graph
+framed("alg_indegree", "SELECT p.url_key, CAST(coalesce(i.n, 0) AS BIGINT) AS inlink_count FROM p_pages p LEFT JOIN p_inlinks i ON i.target_key = p.url_key")(lambda s: graph.indegree(s.table("p_pages"), s.table("p_links")))
+framed("alg_ipr")(lambda s: graph.ipr(s.table("p_pages"), s.table("p_links")).select("url_key", "ipr"))
+SEED = adapters.key("1")
+framed(
+    "alg_click_depth",
+    f"""SELECT p.url_key, d.click_depth FROM p_pages p LEFT JOIN (WITH RECURSIVE e AS (SELECT DISTINCT source_key, target_key FROM p_links WHERE is_internal AND placement = 'body' AND source_key <> target_key AND target_key IN (SELECT url_key FROM p_pages)),
+    r(url_key, d) AS (SELECT {SEED}, 0 UNION SELECT e.target_key, r.d + 1 FROM r JOIN e ON e.source_key = r.url_key WHERE r.d < 12) SELECT url_key, CAST(min(d) AS INT) AS click_depth FROM r GROUP BY url_key) d ON d.url_key = p.url_key""",
+)(lambda s: graph.click_depth(s.table("p_pages"), s.table("p_links"), s.sql(f"SELECT {SEED} AS k").first()[0]))
+
+# crawl
+framed("alg_extract")(lambda s: crawl.extract(s.table("pages"), keep=("page_id",)).select("page_id", "url", "title", "h1", "h1_count", "lang", "charset", "word_count", "internal_links", "external_links", F.size("body_chunks").alias("chunks"), "heading_skips", "noindex"))
+framed("alg_extract_links")(lambda s: crawl.extract(s.table("pages"), keep=("page_id",)).select("page_id", F.explode("links").alias("l")).select("page_id", "l.*"))
+framed("alg_indexability", "SELECT url_key, indexable_reason AS reason FROM p_pages WHERE status_code IS NOT NULL")(lambda s: s.table("p_pages").where("status_code IS NOT NULL").select("url_key", crawl.indexability(F.col("status_code"), F.col("content_type"), F.col("x_robots_tag"), F.col("noindex"), F.col("canonical_key"), F.col("url_key")).alias("reason")))
+framed("alg_url_key")(lambda s: s.table("pages").select("page_id", "url", urls.url_key(F.col("url"), "apex").alias("url_key")))
+framed("alg_morphology")(lambda s: s.table("pages").select("page_id", urls.morphology(F.col("url")).alias("shape")))
+framed("alg_crawlable")(lambda s: s.table("pages").where(crawl.crawlable(F.col("url"))).select("page_id", "url"))
+ROBOTS = "User-agent: *\nDisallow: /product/\nAllow: /product/item-1\nDisallow: /docs"
+framed("alg_robots", "SELECT url_key, NOT (contains(url_key, 'example/docs') OR (contains(url_key, 'example/product/') AND NOT contains(url_key, 'example/product/item-1'))) AS allowed FROM p_pages")(lambda s: crawl.allowed(s.table("p_pages").select("url_key", urls.path_of(F.col("url_key")).alias("path")), s.createDataFrame(crawl.robots_rules(ROBOTS, "audit"), "path string, allow boolean")).select("url_key", "allowed"))
+framed("alg_templates")(lambda s: templates.templates(s))
+framed("alg_sitemap", "SELECT url_key AS url, lastmod FROM p_sitemap")(lambda s: crawl.sitemap_urls(s.table("p_sitemap").select(F.concat(F.lit("<urlset><url><loc> "), F.replace("url_key", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), F.coalesce(F.col("lastmod").cast("string"), F.lit("")), F.lit("</lastmod></url></urlset>")).alias("value"))))
+
+# demand
+framed("alg_opportunities")(lambda s: demand.opportunities(s))
+framed("alg_topic_gaps")(lambda s: demand.topic_gaps(s))
+framed("alg_keyword_list")(lambda s: demand.keyword_list(s, s.sql("SELECT DISTINCT keyword FROM p_keywords WHERE volume >= 1000")))
+framed("alg_market_size", "SELECT competitor AS domain, count(DISTINCT lower(keyword)) AS keywords, sum(etv) AS etv, sum(etv) * 100 / (SELECT sum(etv) FROM p_keywords) AS share_of_voice FROM p_keywords GROUP BY competitor")(lambda s: demand.market_size(s))
+framed("alg_market_topics")(lambda s: demand.market_topics(s))
+framed("alg_serp_footprint")(lambda s: demand.serp_footprint(s))
+
+# recon and fixes
+SERPS = """SELECT p_name AS query, concat('[{"type":"organic","rank_group":', CAST(p_size % 12 + 1 AS STRING), ',"domain":"', CASE p_size % 2 WHEN 0 THEN 'www.site.example' ELSE 'other.example' END, '","url":"u"},{"type":"ai_overview","references":[{"url":"https://site.example/a"}]}]') AS items FROM (SELECT p_name, min(p_size) AS p_size FROM part GROUP BY p_name) t"""
+framed("alg_serp_verdict")(lambda s: recon.parse_serp(s.sql(SERPS), "site.example"))
+
+
+@framed("alg_todos")
+def todos(s):
+    t = s.sql(recon.targets(SPARK)).join(recon.parse_serp(s.sql(SERPS), "site.example"), "query", "left").join(s.sql(recon.page_state(SPARK)).select("url_key", "cannot_rank"), "url_key", "left")
+    t = t.withColumn("verdict", F.when(F.col("cannot_rank"), "page-cannot-rank").otherwise(F.coalesce("verdict", F.lit("competitive-gap"))))
+    return recon.todos(t.withColumn("has_product_schema", F.lit(False)))
+
+
+framed("alg_redirect_targets")(lambda s: fixes.redirect_targets(s))
+framed("alg_flat_chains")(lambda s: fixes.flat_chains(s))
+framed("alg_link_donors")(lambda s: fixes.link_donors(s))
+framed("alg_markup_stubs")(lambda s: fixes.markup_stubs(s))
+framed("alg_readiness", "SELECT n_name AS origin, CAST(floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) AS INT) AS score, count_if(s_acctbal > 0) AS passed, count(*) AS probes, CASE WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 80 THEN 'ready' WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 50 THEN 'partial' WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 20 THEN 'minimal' ELSE 'none' END AS level FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")(
+    lambda s: sinks.readiness(s.table("supplier").join(s.table("nation"), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("origin"), F.lit("c").alias("category"), (F.col("s_acctbal") > 0).alias("passed")))
+)
+
+# ad hoc
+framed("adhoc_aggregate", "SELECT device, count(*) AS count, CAST(sum(clicks) AS BIGINT) AS sum_clicks, round(avg(position), 2) AS avg_position, floor(count(*) * 1000e0 / (SELECT count(*) FROM p_sa WHERE impressions >= 100) + 0.5) / 10 AS pct FROM p_sa WHERE impressions >= 100 GROUP BY device")(
+    lambda s: adhoc.query_data(s, "sa", group_by=("device",), metrics=(("sum", "clicks"), ("avg", "position")), filters=(("impressions", "gte", 100),))
+)
+framed("adhoc_top", "SELECT query, count(*) AS count, CAST(sum(impressions) AS BIGINT) AS sum_impressions, floor(count(*) * 1000e0 / (SELECT count(*) FROM p_sa) + 0.5) / 10 AS pct FROM p_sa GROUP BY query ORDER BY sum_impressions DESC, query LIMIT 10")(
+    lambda s: adhoc.query_data(s, "sa", group_by=("query",), metrics=(("sum", "impressions"),), order_by="sum_impressions", limit=10)
+)
+framed("adhoc_rows", "SELECT url_key, title, word_count FROM p_pages WHERE title ILIKE '%GUIDE%' AND status_code IN (200, 404) ORDER BY word_count DESC NULLS LAST, url_key, title LIMIT 50")(
+    lambda s: adhoc.query_data(s, "pages", "rows", columns=("url_key", "title", "word_count"), filters=(("title", "like", "%GUIDE%"), ("status_code", "in", [200, 404])), order_by="word_count")
+)
+
+# streaming, by their batch equivalents and by a stream run to its end
+framed("stream_daily", "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s: facts.daily_final(s.table("events")).select("date", "event_type", "n"))
+framed("stream_sliding")(lambda s: facts.sliding(s.table("events")))
+framed("stream_sessions")(lambda s: facts.sessions(s.table("events")))
+framed("stream_merge", "SELECT CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS clicks FROM lineitem")(
+    lambda s: facts.merge_facts(s.sql("SELECT CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS clicks FROM lineitem"), s.sql("SELECT CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, CAST(0 AS BIGINT) AS clicks FROM lineitem WHERE l_orderkey % 10 = 0"), ("date", "l_orderkey", "l_linenumber"))
+)
+framed("stream_first_snapshots", "SELECT DISTINCT crawl_id, url_key FROM p_snapshots")(lambda s: facts.first_snapshots(s.table("p_snapshots")).select("crawl_id", "url_key"))
