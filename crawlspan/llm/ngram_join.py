@@ -30,9 +30,9 @@ FRAGMENTS = 8
 #: Bits of the map that candidates are compared by first, for sets of up to as many members.
 BITS = 1024
 #: Classes in a run whose pairs are all candidates.
-RUN = 48
+RUN = 64
 #: A shingle is frequent if blocks of BLOCK shingles that have it LOCAL times or more add up to FREQUENT.
-BLOCK, LOCAL, FREQUENT = 4_000_000, 4, 64
+BLOCK, LOCAL, FREQUENT = 4_000_000, 2, 32
 FREQUENT_MOST = 2_000_000
 BROADCAST_ROWS = 500_000
 
