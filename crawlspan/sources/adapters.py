@@ -37,11 +37,11 @@ def definitions(q: Dialect) -> dict[str, str]:
             (CAST(l_quantity AS BIGINT) % 7) * 3 AS clicks, CAST(l_quantity AS BIGINT) * 10 AS impressions, CAST(l_linenumber * 3 - 2 AS DOUBLE) AS position
             FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""",
         "p_crawl": "SELECT 'c2' AS crawl_id, 'completed' AS status, CAST(100 AS INT) AS urls_crawled, CAST(NULL AS INT) AS max_pages",
-        "p_base": f"""SELECT p_partkey - 1 AS k, p_name AS name, p_size, {key('(p_partkey - 1)')} AS url_key,
-            CASE WHEN (p_partkey - 1) % 23 = 7 THEN 404 WHEN (p_partkey - 1) % 29 = 8 THEN 301 WHEN (p_partkey - 1) % 31 = 9 THEN 503 WHEN (p_partkey - 1) % 37 = 10 THEN NULL ELSE 200 END AS status_code,
-            CASE WHEN (p_partkey - 1) % 41 = 11 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
-            (p_partkey - 1) % 19 = 4 AS noindex, CASE WHEN (p_partkey - 1) % 13 = 6 THEN {key('(p_partkey)')} ELSE {key('(p_partkey - 1)')} END AS canonical_key
-            FROM part WHERE p_partkey <= {n} AND (p_partkey - 1) % 7 <> 3""",
+        "p_base": f"""SELECT p_partkey AS k, p_name AS name, p_size, {key('p_partkey')} AS url_key,
+            CASE WHEN p_partkey % 23 = 7 THEN 404 WHEN p_partkey % 29 = 8 THEN 301 WHEN p_partkey % 31 = 9 THEN 503 WHEN p_partkey % 37 = 10 THEN NULL ELSE 200 END AS status_code,
+            CASE WHEN p_partkey % 41 = 11 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+            p_partkey % 19 = 4 AS noindex, CASE WHEN p_partkey % 13 = 6 THEN {key('(p_partkey + 1)')} ELSE {key('p_partkey')} END AS canonical_key
+            FROM part WHERE p_partkey < {n} AND p_partkey % 7 <> 3""",
         "p_links": f"""SELECT {key(f'((l_suppkey * 3 + l_linenumber) % {n})')} AS source_key, {key(f'(l_partkey % {n})')} AS target_key,
             concat({key(f'(l_partkey % {n})')}, CASE WHEN l_partkey % 4 = 0 THEN '#top' ELSE '' END) AS target_url,
             CASE l_orderkey % 4 WHEN 0 THEN 'Read more' WHEN 1 THEN p_name WHEN 2 THEN concat('about ', p_brand) ELSE '(0)' END AS anchor_text, true AS is_internal,
