@@ -67,13 +67,26 @@ def price(findings: DataFrame, spark) -> DataFrame:
 OUT = ["check_id", "category", "severity", "url_key", "query", "evidence", "found", "traffic", "yield", "certainty", "effort", "priority"]
 
 
+#: Checks of one plan. A single plan of all would take Catalyst minutes.
+BATCH = 8
+
+
 def run_audit(spark, categories: list[str] | None = None, judgement: bool = True, ids: list[str] | None = None) -> DataFrame:
-    """All findings of the property whose views are registered, with their prices."""
+    """All findings of the property whose views are registered, with their prices.
+
+    The tables that most checks read are kept while they run; findings are cut from their lineage batch by batch.
+    """
+    from .graph import cut
     from .structured import build
 
     use = [c for c in CHECKS.values() if (not categories or c.category in categories) and (judgement or c.certainty >= 1) and (ids is None or c.id in ids)]
-    found = reduce(DataFrame.unionByName, [common(c.id, build(c.id, spark)) for c in use])
-    return price(found, spark).select(*OUT)
+    base = [spark.table(t).persist() for t in ("p_sa", "p_pages", "p_links")]
+    try:
+        parts = [cut(reduce(DataFrame.unionByName, [common(c.id, build(c.id, spark)) for c in use[i : i + BATCH]])) for i in range(0, len(use), BATCH)]
+        return cut(price(reduce(DataFrame.unionByName, parts), spark).select(*OUT))
+    finally:
+        for t in base:
+            t.unpersist()
 
 
 def report(findings: DataFrame, top: int = 25) -> DataFrame:

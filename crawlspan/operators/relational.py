@@ -26,12 +26,12 @@ op("join_left", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS orders F
 op("join_right", "SELECT n_name, count(s_suppkey) AS suppliers FROM supplier RIGHT JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")
 op("join_full", "SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, s, c FROM (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY s_nationkey) a FULL OUTER JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey) b ON s_nationkey = c_nationkey")
 op("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
-op("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+op("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 op("join_anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 49)")
 op("join_anti_two_columns", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem l WHERE l_linenumber = 1 AND NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_partkey = l.l_partkey AND m.l_suppkey = l.l_suppkey AND m.l_linenumber = 2)")
 op("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 op("join_three_way", "SELECT r_name, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
-op("join_expression_key", "SELECT a.p_partkey, count(*) AS n FROM part a JOIN part b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 2) GROUP BY a.p_partkey")
+op("join_expression_key", "SELECT split_part(p_name, ' ', 2) AS kind, count(*) AS n FROM part JOIN nation ON n_nationkey = length(split_part(p_name, ' ', 2)) GROUP BY 1")
 op("join_folded_key", "SELECT p_partkey, k FROM part JOIN (SELECT DISTINCT upper(p_brand) AS b, 1 AS k FROM part WHERE p_size < 10) x ON x.b = upper(p_brand)")
 op("join_scalar_subquery", "SELECT s_suppkey, (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_suppkey = s_suppkey) AS lines FROM supplier")
 op("join_lateral", lambda q: f"SELECT p_partkey, w.x AS word FROM part, {q.unnest(q.split('p_name', ' '), 'w')}")
@@ -75,7 +75,7 @@ op("set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM l
 op("fn_strings", lambda q: f"SELECT p_partkey, upper(trim(p_name)) AS u, replace(p_name, ' ', '-') AS slug, substring(p_name, 1, 3) AS s, length(p_name) AS n, {q.sub('p_name', '[aeiou]', '')} AS bare, concat(p_brand, '/', p_type) AS path FROM part")
 op("fn_dates", lambda q: "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y, month(o_orderdate) AS m, dayofyear(o_orderdate) AS doy, " + ("date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01')" if q.duck else "datediff(DATE '2002-01-01', CAST(o_orderdate AS DATE))") + " AS age FROM orders")
 op("fn_week", lambda q: "SELECT o_orderkey, " + ("CAST(strftime(o_orderdate, '%W') AS INT)" if q.duck else "CAST(floor((dayofyear(o_orderdate) + 6 - weekday(o_orderdate)) / 7) AS INT)") + " AS week FROM orders")
-op("fn_math", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 2) AS r, floor(l_quantity / 7 + 0.5) AS half_up, round(ln(l_quantity), 9) AS ln, round(sqrt(l_quantity), 9) AS root, round(1 / (1 + exp(-l_discount)), 9) AS sigmoid FROM lineitem WHERE l_linenumber = 1")
+op("fn_math", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 2) AS r, CAST(floor(l_quantity / 7 + 0.5) AS BIGINT) AS half_up, round(ln(l_quantity), 9) AS ln, round(sqrt(l_quantity), 9) AS root, round(1 / (1 + exp(-l_discount)), 9) AS sigmoid FROM lineitem WHERE l_linenumber = 1")
 op("fn_ctr_curve", lambda q: f"SELECT DISTINCT l_linenumber, {q.ctr('l_linenumber * 1.5')} AS expected FROM lineitem")
 op("fn_json", lambda q: "SELECT event_id, " + ("json_extract_string(props, '$.k')" if q.duck else "get_json_object(props, '$.k')") + " AS k FROM events")
 op("fn_terms", lambda q: f"SELECT p_partkey, {q.join(q.terms('p_name'), '|')} AS terms FROM part")

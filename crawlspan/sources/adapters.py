@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from ..plans.dialect import Dialect
 
-RAW = ("lineitem", "orders", "customer", "nation", "part", "supplier", "events", "documents", "pages")
+RAW = ("region", "lineitem", "orders", "customer", "nation", "part", "supplier", "events", "documents", "pages")
 KEY = "concat('https://site.example/', CASE {k} % 5 WHEN 0 THEN 'blog/post-' WHEN 1 THEN 'product/item-' WHEN 2 THEN 'category/' WHEN 3 THEN 'docs/page/' ELSE 'p-' END, CAST({k} AS STRING), CASE WHEN {k} % 11 = 5 THEN '?color=red&size=2' ELSE '' END)"
 
 
