@@ -32,17 +32,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
-
-
-def plain(v):
-    """A value that compares equal whichever engine made it."""
-    if isinstance(v, float):
-        return None if v != v else round(v, 7)
-    if isinstance(v, (list, tuple)):
-        return tuple(map(plain, v))
-    return v
-
-
-def rows(columns, data):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(str(tuple(plain(r[i]) for i in order)) for r in data)

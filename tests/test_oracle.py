@@ -1,7 +1,7 @@
 """Every query that SQL can express, on both engines; the others run and keep their schema."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from crawlspan.plans.registry import ORACLE, QUERIES
 
