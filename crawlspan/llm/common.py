@@ -28,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, was)
 
 
+#: Rows of an Arrow batch that goes to Python: they hold whole documents.
+BATCH_ROWS = 4000
+
+
+def python_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut to BATCH_ROWS if they are still at Spark's default of 10,000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

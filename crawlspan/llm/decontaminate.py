@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, python_batches
 
 SEED = 5
 COVERAGE = 0.8
@@ -165,7 +165,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
     blocks = max(1, -(-total // BLOCK_BYTES))
     kind = benchmark.schema["item_id"].dataType.simpleString()
     leak = LEAK.format(kind)
-    out = docs.select(*keep, *(() if "text" in keep else ("text",))).withColumn("leaks", F.lit(None).cast(leak))
+    out = python_batches(docs).select(*keep, *(() if "text" in keep else ("text",))).withColumn("leaks", F.lit(None).cast(leak))
     for b in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect() if blocks > 1 else bench.orderBy("item_id").collect()
         items = spark.sparkContext.broadcast([tuple(r) for r in part])

@@ -13,9 +13,11 @@ import re
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_batches
+
 #: Winning paths are broadcast up to so many hosts; beyond, hosts are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 VOTES = 3
@@ -160,7 +162,7 @@ def winners(pages: DataFrame) -> DataFrame:
                     out += [(h, p, s / v[0][1], math.log1p(s)) for p, s in v]
             yield pd.DataFrame(out, columns=["host", "path", "share", "mass"])
 
-    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, path string, share double, mass double")
+    votes = python_batches(pages).select(host(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, path string, share double, mass double")
     # rounded: sums of doubles in another order may differ in the last digits
     sums = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 3).alias("share"), F.round(F.sum("mass"), 3).alias("mass"))
     return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("share"), -F.col("mass"), "path")).alias("path"))
@@ -182,7 +184,7 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [Page(x).text(p) if isinstance(x, str) else "" for x, p in zip(b["html"], b["path"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(best, "host", "left")
+    rows = python_batches(pages).select("page_id", "url", "html", host(F.col("url")).alias("host")).join(best, "host", "left")
     return rows.select("page_id", "url", "html", "path").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
 
 

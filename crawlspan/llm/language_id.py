@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, learnable, sampled_texts
+from .common import bounded_sample, held_out, learnable, python_batches, sampled_texts
 
 #: Rows of each language that probabilities are learned from, at most.
 SAMPLE_ROWS = 150
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 lang, score = s.batch(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "lang_pred": lang, "score": score})
 
-    src = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    src = python_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return src.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 

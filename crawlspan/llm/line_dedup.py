@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, python_batches
 
 #: Lines in the rolling window; one boundary in so many lines on average; lines of a chunk at least that count.
 WINDOW, EVERY, LEAST = 2, 3, 2
@@ -55,7 +55,7 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) ->
     repeated rows keep what the first keeps. A null id counts as the smallest. Empty input gives no rows.
     """
     key = F.xxhash64("doc_id", "text")
-    src = docs.where(F.col("text").contains("\n")).select("doc_id", "text", key.alias("row"))
+    src = python_batches(docs).where(F.col("text").contains("\n")).select("doc_id", "text", key.alias("row"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cutter(with_text):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, shingle_hashes, signed, word_hashes
+from .common import cut, lower_ascii, python_batches, shingle_hashes, signed, word_hashes
 from .components import components
 
 WORDS = 5
@@ -32,7 +32,7 @@ BITS = 1024
 #: Classes in a run whose pairs are all candidates.
 RUN = 64
 #: A shingle is frequent if blocks of BLOCK shingles that have it LOCAL times or more add up to FREQUENT.
-BLOCK, LOCAL, FREQUENT = 4_000_000, 2, 32
+BLOCK, LOCAL, FREQUENT = 2_000_000, 2, 32
 FREQUENT_MOST = 2_000_000
 BROADCAST_ROWS = 500_000
 
@@ -242,7 +242,7 @@ class Join:
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         kind = docs.schema["doc_id"].dataType.simpleString()
-        self.src = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
+        self.src = python_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
         got = cut(self.src.mapInPandas(profile, f"kind int, doc_id {kind}, tkey long, n long, a long, bits binary"))
         self.rows = got.where("kind = 0").select("doc_id", "tkey", "n", "a")
         self.maps = got.where("kind = 0 and n > 0").groupBy("a").agg(F.first("bits").alias("bits"), F.min("tkey").alias("tkey"))

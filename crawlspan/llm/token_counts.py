@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_batches
+
 #: Code points with the property White_Space, which is what the tokenizer's own \s means.
 _WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The splitter of byte-level BPE with 50,257 ids: contractions, words, numbers, other runs, white space. Fixed value.
@@ -195,7 +197,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": n, "over_limit": n > limit})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    src = docs.select("doc_id", "text", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"))
+    src = python_batches(docs).select("doc_id", "text", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"))
     return src.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 

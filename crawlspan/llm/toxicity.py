@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, learnable, sampled_texts
+from .common import bounded_sample, held_out, learnable, python_batches, sampled_texts
 
 #: Labelled rows of either label that weights are learned from, at most.
 SAMPLE_ROWS = 2500
@@ -168,7 +168,7 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD, k
             yield out
 
     cols = ["doc_id", *keep]
-    return docs.select(*cols, *(() if "text" in cols else ("text",)), held_out(F.col("doc_id")).alias("held_out")).mapInPandas(run, schema)
+    return python_batches(docs).select(*cols, *(() if "text" in cols else ("text",)), held_out(F.col("doc_id")).alias("held_out")).mapInPandas(run, schema)
 
 
 def query(spark, sf_dir):
