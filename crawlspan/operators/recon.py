@@ -78,7 +78,7 @@ def todos(facts: DataFrame) -> DataFrame:
         ("merge competing pages", "cannibalisation", F.col("competing_urls") >= 2),
     ]
     made = F.array(*[F.when(c, F.struct(F.lit(a).alias("action"), F.lit(k).alias("type"), price(k).alias("priority"))) for a, k, c in rules])
-    return facts.select("url_key", "query", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("t")).select("url_key", "query", "t.*")
+    return facts.select("url_key", "query", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("todo")).select("url_key", "query", "todo.action", "todo.type", "todo.priority")
 
 
 def add_to_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:

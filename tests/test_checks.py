@@ -70,6 +70,23 @@ def test_pricing(spark, site):
     assert one.traffic == pytest.approx(max(5, 100 * 0.06)) and one["yield"] == pytest.approx(min(1, 0.8 * 1.1)) and one.effort == pytest.approx(1.0)
 
 
+def test_passages(spark):
+    """Where the words of the top query stand: nowhere, apart, late."""
+    import crawlspan.plans.registry as registry
+    from pyspark.sql import functions as F
+
+    chunks = {"apart": ["a blue one", "an oak one"], "late": ["intro", "more", "blue oak guide at last"], "none": ["other", "things"], "fine": ["blue oak guide", "x"]}
+    rows = [(f"https://s.example/{k}", [("", 2, t) for t in c]) for k, c in chunks.items()]
+    pages = spark.createDataFrame(rows, "url_key string, body_chunks array<struct<heading:string,level:int,text:string>>")
+    pages = pages.withColumns({"status_code": F.lit(200), "indexable": F.lit(True), "word_count": F.lit(900), "content_type": F.lit("text/html")})
+    facts = spark.createDataFrame([fact("blue oak" if k == "apart" else "blue oak guide", k, impressions=500) for k in chunks], "date date, query string, page_key string, device string, country string, clicks long, impressions long, position double")
+    Property(spark, {"pages": pages, "sa": facts})
+    registry._AT[0] = None
+    assert keys(spark, "rag-answer-gap") == {"apart"}
+    assert keys(spark, "body-missing-top-query") == {"none"}
+    assert keys(spark, "answer-not-front-loaded") == {"late"}
+
+
 def test_empty_property(spark):
     Property(spark, {})
     import crawlspan.plans.registry as registry
