@@ -152,8 +152,8 @@ check("broken-canonical-target", "indexation", "high", "D", 3, "per-page")(lambd
 check("pagination-canonical-to-page-1", "crawlability", "high", "D", 3, "global")(lambda q: f"SELECT url_key, url, canonical_key AS canonical FROM p_pages WHERE status_code = 200 AND (rel_prev OR {paged(q)}) AND canonical_key IS NOT NULL AND canonical_key <> url_key AND NOT {paged(q, 'canonical_key')}")
 ALT = lambda q: f"(SELECT p.url_key AS src, h.x.lang AS lang, h.x.href_key AS alt FROM p_pages p, {q.unnest('p.hreflang', 'h')} WHERE p.status_code = 200 AND p.indexable AND h.x.href_key <> p.url_key)"
 TEN = lambda q: "list(a.alt ORDER BY a.alt)[1:10]" if q.duck else "slice(sort_array(collect_list(a.alt)), 1, 10)"
-check("broken-hreflang-target", "indexation", "high", "D", 3, "per-page")(lambda q: f"SELECT a.src AS url_key, {TEN(q)} AS broken_alternates, count(*) AS n FROM (SELECT DISTINCT src, alt FROM {ALT(q)} x) a JOIN p_pages t ON t.url_key = a.alt WHERE t.status_code <> 200 OR t.noindex GROUP BY a.src")
-check("hreflang-no-return-tag", "indexation", "high", "D", 3, "per-page")(lambda q: f"SELECT a.src AS url_key, {TEN(q)} AS missing_return_from, count(*) AS n FROM (SELECT DISTINCT src, alt FROM {ALT(q)} x WHERE lower(lang) <> 'x-default') a JOIN p_pages t ON t.url_key = a.alt LEFT JOIN (SELECT DISTINCT src, alt FROM {ALT(q)} y) b ON b.src = a.alt AND b.alt = a.src WHERE t.status_code = 200 AND t.indexable AND b.src IS NULL GROUP BY a.src")
+check("broken-hreflang-target", "indexation", "high", "D", 3, "per-page")(lambda q: f"SELECT a.src AS url_key, {q.join(TEN(q))} AS broken_alternates, count(*) AS n FROM (SELECT DISTINCT src, alt FROM {ALT(q)} x) a JOIN p_pages t ON t.url_key = a.alt WHERE t.status_code <> 200 OR t.noindex GROUP BY a.src")
+check("hreflang-no-return-tag", "indexation", "high", "D", 3, "per-page")(lambda q: f"SELECT a.src AS url_key, {q.join(TEN(q))} AS missing_return_from, count(*) AS n FROM (SELECT DISTINCT src, alt FROM {ALT(q)} x WHERE lower(lang) <> 'x-default') a JOIN p_pages t ON t.url_key = a.alt LEFT JOIN (SELECT DISTINCT src, alt FROM {ALT(q)} y) b ON b.src = a.alt AND b.alt = a.src WHERE t.status_code = 200 AND t.indexable AND b.src IS NULL GROUP BY a.src")
 check("entity-internal-link-gap", "crawlability", "low", "N", 3, "per-page", 0.5)(lambda q: "SELECT pp.url_key, cp.url_key AS suggest_link_to, pp.label AS parent_entity, cp.label AS child_entity, e.relation FROM p_entity_edge e JOIN p_page_entity cp ON cp.qid = e.qid JOIN p_page_entity pp ON pp.qid = e.related_qid LEFT JOIN (SELECT DISTINCT source_key, target_key FROM p_links) l ON l.source_key = pp.url_key AND l.target_key = cp.url_key WHERE l.source_key IS NULL AND pp.url_key <> cp.url_key")
 check("underlinked-editorial", "merged", "high", "D+G", 3, "per-page", top="impressions")(lambda q: f"SELECT p.url_key, s.impressions, coalesce(b.n, 0) AS in_content_links FROM p_pages p JOIN ({totals(win())}) s ON s.page_key = p.url_key LEFT JOIN (SELECT target_key, count(DISTINCT source_key) AS n FROM p_links WHERE is_internal AND placement = 'body' AND source_key <> target_key GROUP BY target_key) b ON b.target_key = p.url_key WHERE p.indexable AND s.impressions >= 300 AND coalesce(b.n, 0) <= 2 ORDER BY s.impressions DESC, p.url_key LIMIT 40")
 
@@ -184,7 +184,9 @@ check("striking-distance", "merged", "high", "G", 5, "per-page", top="impression
 @check("keyword-cannibalisation", "merged", "high", "G", 5, "per-page", top="impressions")
 def keyword_cannibalisation(q):
     by = "impressions DESC, page_key"
-    listed = f"list(page_key ORDER BY {by}) AS urls, list(impressions ORDER BY {by}) AS url_impressions" if q.duck else "transform(sort_array(collect_list(struct(-impressions AS i, page_key AS url))), x -> x.url) AS urls, transform(sort_array(collect_list(-impressions)), x -> -x) AS url_impressions"
+    names = f"list(page_key ORDER BY {by})" if q.duck else "transform(sort_array(collect_list(struct(-impressions AS i, page_key AS url))), x -> x.url)"
+    shown = f"list(impressions ORDER BY {by})" if q.duck else "transform(sort_array(collect_list(-impressions)), x -> -x)"
+    listed = f"{q.join(names)} AS urls, {q.join(q.map(shown, 'v', q.text('v')))} AS url_impressions"
     return f"""WITH s AS (SELECT *, max(impressions) OVER (PARTITION BY query) AS lead FROM ({totals(win() + ' AND query IS NOT NULL AND page_key IS NOT NULL', 'query, page_key')}) t WHERE position < 20 AND impressions >= 10)
     SELECT CAST(NULL AS STRING) AS url_key, query, count(*) AS competing_urls, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, min(position) AS best_position, max(position) AS worst_position, (min(position) + max(position)) / 2 AS position, {listed}
     FROM s WHERE impressions >= lead * 0.1 OR impressions >= 500 GROUP BY query HAVING count(*) >= 2 AND sum(impressions) >= 50 AND max(position) > 2 ORDER BY impressions DESC, query LIMIT 40"""

@@ -116,11 +116,11 @@ def braids(q: Dialect):
 def cannibalisation_table(q: Dialect):
     six = "list(page_key ORDER BY impressions DESC, page_key)[1:6]" if q.duck else "transform(slice(sort_array(collect_list(struct(-impressions AS i, page_key AS u))), 1, 6), x -> x.u)"
     return f"""WITH c AS (SELECT *, {BUCKET(q, 'page_key')} AS bucket FROM {CONTESTED} x WHERE position < 20 AND impressions >= 10)
-        SELECT query, count(*) AS n_urls, CAST(sum(impressions) AS BIGINT) AS impressions, max(impressions) / CAST(sum(impressions) AS DOUBLE) AS lead_share, CASE WHEN max(impressions) >= 0.7 * sum(impressions) THEN 'dominant' ELSE 'split' END AS state, count(DISTINCT bucket) >= 2 AS cross_type, {six} AS urls
+        SELECT query, count(*) AS n_urls, CAST(sum(impressions) AS BIGINT) AS impressions, max(impressions) / CAST(sum(impressions) AS DOUBLE) AS lead_share, CASE WHEN max(impressions) >= 0.7 * sum(impressions) THEN 'dominant' ELSE 'split' END AS state, count(DISTINCT bucket) >= 2 AS cross_type, {q.join(six)} AS urls
         FROM c GROUP BY query HAVING count(*) >= 2 ORDER BY cross_type DESC, state DESC, impressions DESC, query LIMIT 40"""
 
 
 dataset("trapped_authority")(lambda q: "SELECT b.url_key, b.referring_domains, p.click_depth, coalesce(b.trust_flow, least(b.referring_domains, 100)) * coalesce(p.click_depth, 6) AS score FROM p_backlinks b JOIN p_pages p ON p.url_key = b.url_key WHERE p.status_code = 200 AND b.referring_domains >= 2 AND (p.click_depth IS NULL OR p.click_depth >= 3) ORDER BY score DESC, b.url_key LIMIT 20")
-dataset("growing_declining")(lambda q: f"SELECT sum(CASE WHEN clicks > 1.03 * prior_clicks THEN 1 ELSE 0 END) AS growing, sum(CASE WHEN clicks < 0.97 * prior_clicks THEN 1 ELSE 0 END) AS declining FROM ({pair('page_key', 'page_key IS NOT NULL')}) t")
+dataset("growing_declining")(lambda q: f"SELECT count(CASE WHEN clicks > 1.03 * prior_clicks THEN 1 END) AS growing, count(CASE WHEN clicks < 0.97 * prior_clicks THEN 1 END) AS declining FROM ({pair('page_key', 'page_key IS NOT NULL')}) t")
 dataset("date_alignment")(lambda q: f"SELECT greatest(min(date), CAST('2000-01-01' AS DATE)) AS first_day, least(max(date), {D}) AS last_day, count(DISTINCT date) AS days FROM p_sa")
 dataset("link_prospects")(lambda q: "SELECT competitor AS domain, count(*) AS keywords, CAST(max(volume) AS BIGINT) AS max_volume, sum(etv) AS etv FROM p_keywords GROUP BY competitor ORDER BY keywords DESC, domain LIMIT 100")

@@ -21,7 +21,7 @@ op("coalesce_nullif_case", "SELECT l_orderkey, l_linenumber, coalesce(nullif(l_r
 op("window_predicate", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST(l_shipdate AS DATE) <= (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem) AND CAST(l_shipdate AS DATE) > (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem) - INTERVAL 28 DAY")
 op("brand_exclusion", lambda q: "SELECT p_partkey, p_name FROM part WHERE NOT " + q.contains("concat(' ', lower(p_name), ' ')", "' blue '"))
 # joins
-op("join_inner", "SELECT n_name, count(*) AS suppliers, sum(s_suppkey) AS keys FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")
+op("join_inner", "SELECT n_name, count(*) AS suppliers, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")
 op("join_left", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 op("join_right", "SELECT n_name, count(s_suppkey) AS suppliers FROM supplier RIGHT JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")
 op("join_full", "SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, s, c FROM (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY s_nationkey) a FULL OUTER JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey) b ON s_nationkey = c_nationkey")
@@ -43,7 +43,7 @@ op("agg_basic", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_qu
 op("agg_weighted_mean", "SELECT l_suppkey, sum(l_linenumber * l_quantity) / nullif(sum(l_quantity), 0) AS wavg FROM lineitem GROUP BY l_suppkey")
 op("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15")
 op("agg_count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
-op("agg_conditional", "SELECT o_orderstatus, count_if(o_totalprice > 100000) AS large, sum(CASE WHEN o_totalprice <= 100000 THEN 1 ELSE 0 END) AS small FROM orders GROUP BY o_orderstatus")
+op("agg_conditional", "SELECT o_orderstatus, CAST(count_if(o_totalprice > 100000) AS BIGINT) AS large, CAST(sum(CASE WHEN o_totalprice <= 100000 THEN 1 ELSE 0 END) AS BIGINT) AS small FROM orders GROUP BY o_orderstatus")
 op("agg_list", lambda q: f"SELECT n_regionkey, {q.join(q.listed('n_name'), ', ')} AS names FROM nation GROUP BY n_regionkey")
 op("agg_of_agg", "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t GROUP BY n")
 op("agg_labelled", "SELECT CASE WHEN p_size >= 40 THEN 'large' ELSE 'small' END AS label, min(p_size) AS lo, count(*) AS n FROM part GROUP BY 1")
@@ -85,4 +85,4 @@ op("fn_truncate", "SELECT doc_id, CASE WHEN length(text) > 120 THEN concat(subst
 op("fn_mentions", lambda q: f"SELECT p_partkey FROM part WHERE {q.mentions('p_name', repr('widgets'))}")
 # the classic report of a pricing summary, and a three-way revenue query
 op("pricing_summary", "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
-op("rank_bands", "SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS period, sum(CASE WHEN o_orderkey % 20 < 3 THEN 1 ELSE 0 END) AS pos_1_3, sum(CASE WHEN o_orderkey % 20 BETWEEN 3 AND 9 THEN 1 ELSE 0 END) AS pos_4_10, count(*) AS keywords FROM orders GROUP BY 1")
+op("rank_bands", "SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS period, count(CASE WHEN o_orderkey % 20 < 3 THEN 1 END) AS pos_1_3, count(CASE WHEN o_orderkey % 20 BETWEEN 3 AND 9 THEN 1 END) AS pos_4_10, count(*) AS keywords FROM orders GROUP BY 1")

@@ -122,7 +122,7 @@ framed("alg_redirect_targets")(lambda s: fixes.redirect_targets(s))
 framed("alg_flat_chains")(lambda s: fixes.flat_chains(s))
 framed("alg_link_donors")(lambda s: fixes.link_donors(s))
 framed("alg_markup_stubs")(lambda s: fixes.markup_stubs(s))
-framed("alg_readiness", "SELECT n_name AS origin, CAST(floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) AS INT) AS score, count_if(s_acctbal > 0) AS passed, count(*) AS probes, CASE WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 80 THEN 'ready' WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 50 THEN 'partial' WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 20 THEN 'minimal' ELSE 'none' END AS level FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")(
+framed("alg_readiness", "SELECT n_name AS origin, CAST(floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) AS INT) AS score, CAST(count_if(s_acctbal > 0) AS BIGINT) AS passed, count(*) AS probes, CASE WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 80 THEN 'ready' WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 50 THEN 'partial' WHEN floor(count_if(s_acctbal > 0) * 100 / count(*) + 0.5) >= 20 THEN 'minimal' ELSE 'none' END AS level FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name")(
     lambda s: sinks.readiness(s.table("supplier").join(s.table("nation"), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("origin"), F.lit("c").alias("category"), (F.col("s_acctbal") > 0).alias("passed")))
 )
 
