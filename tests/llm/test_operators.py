@@ -370,12 +370,20 @@ def plain_windows(v, width):
 def test_windows_partition_all_subsequences():
     r = random.Random(12)
     for ties in (False, True):
-        for _ in range(20):
-            v = np.array([r.randrange(6 if ties else 10**9) for _ in range(r.randint(0, 30))], np.uint64)
-            w = substring_dedup.windows(v, 4, True)
-            for (i, j), low in plain_windows(v.tolist(), 4).items():
-                own = [c for a, c, z in w if a <= i <= c <= j <= z]
-                assert len(own) == 1 and v[own[0]] == low
+        for _ in range(15):
+            parts = [[r.randrange(6 if ties else 10**9) << 32 for _ in range(r.randint(0, 30))] for _ in range(3)]
+            ends = np.cumsum([len(p) for p in parts])
+            v = np.array([x for p in parts for x in p], np.uint64)
+            w = list(zip(*(x.tolist() for x in substring_dedup.windows(v, np.r_[0, ends[:-1]], ends, 4)), strict=True))
+            for start, part in zip(np.r_[0, ends[:-1]].tolist(), parts, strict=True):
+                for (i, j), low in plain_windows(part, 4).items():
+                    own = [c for a, c, z in w if a <= i + start <= c <= j + start <= z]
+                    assert len(own) == 1 and v[own[0]] == low
+
+
+def test_one_repeated_word_is_shallow():
+    v = np.zeros(200_000, np.uint64)
+    assert len(substring_dedup.windows(v, np.array([0]), np.array([len(v)]), 46)[0]) < 200_000
 
 
 def test_shared_passages_are_found(spark, edge, nothing):
