@@ -113,7 +113,7 @@ def prefixes(frequent):
                 if len(seen) < 200_000:
                     seen.add(a)
                 n = len(s)
-                common = np.isin(s, hot, assume_unique=True) if len(hot) else np.zeros(n, bool)
+                common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
                 rare = int(n - common.sum())
                 p = n - int(-(-SIMILAR[0] * n // SIMILAR[1])) + 1
                 first = np.concatenate([s[~common], s[common]])[:p]
