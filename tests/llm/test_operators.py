@@ -405,6 +405,34 @@ def test_shared_passages_are_found(spark, edge, nothing):
     assert substring_dedup.repeated_passages(nothing).count() == 0
 
 
+def test_passages_around_a_frequent_stretch_are_found(spark):
+    """49 words that 120 documents share, and 2 more after them that only two share each: no run of the 49 words' minima is short."""
+    r = random.Random(15)
+    frequent = prose(r, 49)
+    rows = [(i, f"{prose(r, 79)} l{i} {frequent} {f'p{i // 2} q{i // 2} ' if i < 40 else ''}r{i} {prose(r, 80)}", None, None) for i in range(120)]
+    got = {x.doc_id: x for x in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == set(range(40))
+    for d, x in got.items():
+        assert any(s.start <= 80 and s.end >= 131 and s.other == d ^ 1 for s in x.spans), d
+
+
+def test_chains_reach_every_place_in_any_batches():
+    import pandas as pd
+
+    r = random.Random(16)
+    rows = sorted((r.randrange(12), r.randrange(6), r.randrange(1000)) for _ in range(150))
+    f = pd.DataFrame(rows, columns=["h", "a", "i"])
+    for step in (1, 4, 1000):
+        out = pd.concat(list(substring_dedup.chain(f.iloc[k : k + step] for k in range(0, len(f), step))))
+        pairs = {((a, at >> 32), (b, at & 0xFFFFFFFF)) for a, b, at in out.itertuples(index=False)}
+        of = {}
+        for h, a, i in rows:
+            of.setdefault((a, i), set()).add(h)
+        assert all(x[0] < y[0] and of[x] & of[y] for x, y in pairs)
+        ends = {p for pair in pairs for p in pair}
+        assert all((a, i) in ends for h, a, i in rows if any(g == h and c != a for g, c, _ in rows))
+
+
 # op10
 
 
