@@ -1,7 +1,9 @@
 """Line dedup by content-defined line chunks.
 
 A rolling hash over the hashes of the last lines chooses boundaries, so inserted or missing lines move
-only the boundaries next to them. Chunks of several lines that occur more than once anywhere are
+only the boundaries next to them. A chunk ends only once it has LEAST lines that aren't blank, and what is
+left at the end of a text with fewer goes with the chunk before, so a copied text of that many lines has no
+chunk too short to count. Chunks of several lines that occur more than once anywhere are
 compared byte by byte; all but their first occurrence (smallest document id, then place) are removed.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, python_batches
 
-#: Lines in the rolling window; one boundary in so many lines on average; lines of a chunk at least that count.
+#: Lines in the rolling window; one boundary in so many lines on average, if chunks are long enough; lines of a chunk at least that aren't blank.
 WINDOW, EVERY, LEAST = 2, 3, 2
 MASK = (1 << 64) - 1
 #: Rows of a small side that is broadcast, at most; beyond, it is joined by a shuffle.
@@ -25,17 +27,21 @@ def chunks(text: str) -> list[str]:
     """Chunks of whole lines; joined by line feeds they give the text."""
     lines = text.split("\n")
     hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
-    out, first, rolling = [], 0, 0
+    out, ends, first, rolling, filled = [], [], 0, 0, 0
     out_of = pow(0x9E3779B97F4A7C15, WINDOW, 1 << 64)
     for i, h in enumerate(hashes):
         rolling = (rolling * 0x9E3779B97F4A7C15 + h) & MASK
         if i >= WINDOW:
             rolling = (rolling - hashes[i - WINDOW] * out_of) & MASK
-        if (rolling ^ rolling >> 31) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 33 < (1 << 31) // EVERY:
-            out.append("\n".join(lines[first : i + 1]))
-            first = i + 1
-    if first < len(lines):
-        out.append("\n".join(lines[first:]))
+        filled += bool(lines[i].strip())
+        if filled >= LEAST and (rolling ^ rolling >> 31) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 33 < (1 << 31) // EVERY:
+            ends.append(i + 1)
+            filled = 0
+    if ends and filled < LEAST:
+        ends.pop()
+    for end in (*ends, len(lines)):
+        out.append("\n".join(lines[first:end]))
+        first = end
     return out
 
 

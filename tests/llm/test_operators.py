@@ -319,6 +319,18 @@ def test_line_dedup_matches_plain(spark, edge, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_no_line_of_a_copy_stays(spark):
+    r = random.Random(17)
+    texts = ["\n".join(prose(r, 5) if r.random() < 0.8 else "" for _ in range(r.randint(4, 15))) for _ in range(60)]
+    for t in texts:
+        parts = line_dedup.chunks(t)
+        assert "\n".join(parts) == t and (len(parts) == 1 or all(map(line_dedup.counts, parts)))
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(frame(spark, [(100 * k + i, t, None, None) for i, t in enumerate(texts) for k in range(3)])).collect()}
+    for d, x in got.items():
+        if line_dedup.counts(texts[d % 100]):
+            assert x.text == (texts[d] if d < 100 else ""), d
+
+
 # op8
 
 SHELL = '<html><head><title>T</title><style>x{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><header>Site</header><div class="cookie-notice">We use cookies</div>%s<aside>More</aside><div id="comments"><p>Nice post, dear author, thanks for all of it</p></div><form>Mail</form><footer>Foot</footer></body></html>'
