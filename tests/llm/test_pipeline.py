@@ -47,5 +47,21 @@ def test_run_is_the_stages(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
 
 
+def test_one_of_planted_copies_stays(spark, data, tmp_path):
+    """Of exact copies of several lines, the first document stays whole and no scraps of the others do."""
+    import os
+    import random
+
+    r = random.Random(18)
+    texts = ["\n".join(" ".join(f"w{r.randrange(400)}" for _ in range(8)) for _ in range(r.randint(3, 9))) for _ in range(15)]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    planted = [(10**9 + 100 * k + i, t, "en", "web", len(t)) for i, t in enumerate(texts) for k in range(3)]
+    docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(planted, docs.select(*corpus_pipeline.COLUMNS).schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{data}/{name}.parquet", tmp_path / f"{name}.parquet")
+    left = {x.doc_id: x.text for x in corpus_pipeline.run(spark, str(tmp_path)).where(f"doc_id >= {10**9}").collect()}
+    assert left == {10**9 + i: t for i, t in enumerate(texts)}
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
