@@ -53,10 +53,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     rows, queries: (id, vector). A query that is itself a row finds itself. Null vectors are neither
     found nor searched. Equal ids in rows count once per different code; equal queries give one result.
-    With fewer than k rows, all are returned.
+    With fewer than k rows, all are returned. Components that a shorter vector lacks count as not positive.
     """
-    dims = rows.agg(F.max(F.size("vector"))).first()[0] or 1
-    dims = max(1, dims)
+    size = F.max(F.size("vector")).alias("n")
+    # of both sides: what a longer query has beyond the rows counts, too
+    dims = max(1, rows.agg(size).unionByName(queries.agg(size)).agg(F.max("n")).first()[0] or 1)
     m = -(-dims // SEGMENT)
     coded = lambda df: df.where(F.col("vector").isNotNull()).select("id", code(F.col("vector"), dims).alias("code"))
     base = cut(smallest(coded(rows).distinct(), ["code"], ["id"], k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
