@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, kept
 
 #: Ranges of one source hold about so many rows.
 ROWS_PER_RANGE = 4000
@@ -44,8 +44,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], epochs: int = MAX_EPOC
     return t.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * F.col("level"), F.lit(0.0))).alias("target"))
 
 
+OWN = ("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: str = "mix-1", keep: tuple[str, ...] = (), size: Column | None = None) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken (+ the columns in keep).
+    """One row per input row: doc_id, size, source_size, target, taken, source, + the columns in keep that aren't named like these.
 
     taken: words that the mix takes of the row, repeats counted: as many whole epochs as fit the target,
     then rows in hash order until the budget is spent; the row at the cut gives only the rest, so a
@@ -53,8 +56,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: s
     Null text has size 0; a null source is a source of its own, last in order; rows with equal doc_id
     share a key and are ordered by size (ties are interchangeable). Empty input gives no rows.
     """
-    keep = tuple(c for c in keep if c not in ("doc_id", "source"))
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), (n_words(F.col("text")) if size is None else size).alias("size"), *keep)
+    keep = kept(keep, OWN)
+    carried = [F.struct(*keep).alias("kept")] if keep else []  # as one column, so that no name clashes with those used here
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), (n_words(F.col("text")) if size is None else size).alias("size"), *carried)
     base = base.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     narrow = cut(base.select("doc_id", "source", "size", "key")) if not keep else base
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -75,7 +79,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: s
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_before") - F.col("before")))
-    return out.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", (whole * F.col("size") + part).cast("long").alias("taken"), F.col("r.source").alias("source"), *keep)
+    return out.select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", (whole * F.col("size") + part).cast("long").alias("taken"), F.col("r.source").alias("source"), *(["kept.*"] if keep else []))
 
 
 SQL = """
