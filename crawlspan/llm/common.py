@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -17,7 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: ``checkpoint()`` into the folder that spark.checkpoint.dir names, shared by all executors."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawlspan-ckpt-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     # without constraints: those a checkpoint keeps may name columns that later unions can't resolve
     key = "spark.sql.constraintPropagation.enabled"
     was = spark.conf.get(key, "true")
@@ -28,6 +28,21 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, was)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names. Only a local session, whose executors are this process, may go without."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="crawlspan-ckpt-")
+
+
+def kept(keep: tuple[str, ...], own: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to carry along, without those that an operator returns itself: of equal names its own column stands."""
+    taken = {c.lower() for c in own}
+    return tuple(dict.fromkeys(c for c in keep if c.lower() not in taken))
+
+
 #: Rows of an Arrow batch that goes to Python: they hold whole documents.
 BATCH_ROWS = 4000
 
@@ -127,26 +142,26 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
-def bounded_sample(rows: DataFrame, label: str, most: int) -> list[tuple]:
-    """(id, label) of at most ``most`` rows of each label: those with the smallest hash of their id.
+def bounded_sample(docs: DataFrame, rows: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, label, text) of at most ``most`` ids of each label: those with the smallest hash of their id.
 
-    rows: (doc_id, label), one small scan. The hash bound leaves about the rows wanted, so no task or the
-    driver ever holds more than a few times ``most`` rows of a label.
+    rows: (doc_id, label). One aggregate counts the labels; a second scan keeps the ids under each label's
+    hash bound, which leaves about the rows wanted, so no task ever holds more than a few times ``most``
+    rows of a label, and the driver none. Of an id's labels the smallest counts, of its texts too. The
+    result is written to the checkpoint folder, as learners read it more than once.
     """
-    counts = rows.groupBy(label).count().collect()
+    ids = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
     h = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))
-    out = []
-    for value, n in sorted(((r[0], r[1]) for r in counts if r[0] is not None), key=lambda r: str(r[0])):
-        bound = int(min(1.0, 1.5 * (most + 20) / n) * (2**64 - 1)) - 2**63
-        part = rows.where((F.col(label) == F.lit(value)) & (h <= F.lit(min(bound, 2**63 - 1))))
-        out += [(r[0], value) for r in part.select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(most).collect()]
-    return out
-
-
-def sampled_texts(docs: DataFrame, picked: list[tuple], label: str):
-    """pandas (label, text) of the picked ids; picked is bounded by its sampler, so it is broadcast."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = spark.createDataFrame(picked or [(None, None)], f"doc_id {kind}, {label} {'string' if not picked or isinstance(picked[0][1], str) else 'long'}")
-    ids = ids.dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select(label, "text").toPandas()
+    counts = cut(ids.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+    counts = F.broadcast(counts) if counts.limit(SAMPLE_BROADCAST + 1).count() <= SAMPLE_BROADCAST else counts
+    bound = F.least(F.lit(1.0), 1.5 * (most + 20) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
+    near = ids.withColumn("h", h).join(counts, label).where(F.col("h").cast("double") <= bound)
+    place = F.row_number().over(Window.partitionBy(label).orderBy("h", "doc_id"))
+    picked = cut(near.withColumn("place", place).where(F.col("place") <= most).select("doc_id", label))
+    small = F.broadcast(picked) if picked.limit(SAMPLE_BROADCAST + 1).count() <= SAMPLE_BROADCAST else picked
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(small, "doc_id")
+    return cut(texts.groupBy("doc_id", label).agg(F.min("text").alias("text")))
+
+
+#: Sampled ids that are broadcast, at most; beyond (very many labels), they are joined by a shuffle.
+SAMPLE_BROADCAST = 200_000
