@@ -14,11 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, python_batches
+from .common import cut, kept, python_batches
 
 #: Lines in the rolling window; one boundary in so many lines on average, if chunks are long enough; lines of a chunk at least that aren't blank.
-WINDOW, EVERY, LEAST = 2, 3, 2
+WINDOW, EVERY, LEAST = 2, 2, 2
 MASK = (1 << 64) - 1
+#: Occurrences of one hash that meet in a task, about; more are spread by a salt.
+TOGETHER = 2000
 #: Rows of a small side that is broadcast, at most; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -55,11 +57,13 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The columns in keep, text without repeated chunks, + n_lines, removed_lines (long).
+    """The columns in keep, text without repeated chunks, + n_lines, removed_lines (long; kept columns of these names are left out).
 
     Null text stays null with 0 lines. Rows with the same id and text share their occurrences, so
     repeated rows keep what the first keeps. A null id counts as the smallest. Empty input gives no rows.
+    A chunk repeated by very many rows is spread over tasks by a salt, of which its first occurrence has copies.
     """
+    keep = kept(keep, ("n_lines", "removed_lines", "__row", "__gone"))
     key = F.xxhash64("doc_id", "text")
     src = python_batches(docs).where(F.col("text").contains("\n")).select("doc_id", "text", key.alias("row"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -79,20 +83,21 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) ->
         return run
 
     hashes = src.mapInPandas(cutter(False), "h long")
-    repeated = cut(hashes.groupBy("h").count().where("count > 1").select("h"))
+    repeated = cut(hashes.groupBy("h").count().where("count > 1").select("h", F.ceil(F.col("count") / TOGETHER).cast("int").alias("salts")))
     found = src.mapInPandas(cutter(True), f"doc_id {kind}, row long, i int, h long, chunk string")
     # only chunks with a repeated hash go on with their bytes
-    found = cut(found.join(_small(repeated), "h", "left_semi"))
-    first = found.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "i", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = found.join(first, ["h", "chunk"]).where(F.struct("doc_id", "i", "row") != F.col("first")).groupBy("row").agg(F.collect_set("i").alias("gone"))
-    gone = cut(gone)
-    rows = docs.select(*keep, *(() if "text" in keep else ("text",)), key.alias("_row")).join(_small(gone.withColumnRenamed("row", "_row")), "_row", "left").drop("_row")
-    out_schema = rows.drop("gone").withColumn("n_lines", F.lit(0).cast("long")).withColumn("removed_lines", F.lit(0).cast("long")).schema
+    found = cut(found.join(_small(repeated), "h").withColumn("salt", F.pmod(F.xxhash64("row", "i"), F.col("salts")).cast("int")))
+    first = found.groupBy("h", "chunk", "salts").agg(F.min(F.struct("doc_id", "i", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("h", "chunk", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    gone = found.join(first, ["h", "salt", "chunk"]).where(F.struct("doc_id", "i", "row") != F.col("first")).groupBy("row").agg(F.collect_set("i").alias("__gone"))
+    gone = cut(gone.withColumnRenamed("row", "__row"))
+    rows = docs.select(*keep, *(() if "text" in keep else ("text",)), key.alias("__row")).join(_small(gone), "__row", "left").drop("__row")
+    out_schema = rows.drop("__gone").withColumn("n_lines", F.lit(0).cast("long")).withColumn("removed_lines", F.lit(0).cast("long")).schema
 
     def rebuild(batches):
         for b in batches:
             texts, n, cut_lines = [], [], []
-            for t, g in zip(b["text"], b["gone"], strict=True):
+            for t, g in zip(b["text"], b["__gone"], strict=True):
                 total = t.count("\n") + 1 if isinstance(t, str) else 0
                 removed = 0
                 if g is not None and isinstance(t, str):
@@ -103,7 +108,7 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) ->
                 texts.append(t if isinstance(t, str) else None)
                 n.append(total)
                 cut_lines.append(removed)
-            out = b.drop(columns="gone").copy()
+            out = b.drop(columns="__gone").copy()
             out["text"], out["n_lines"], out["removed_lines"] = texts, n, cut_lines
             yield out
 
