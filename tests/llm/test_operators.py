@@ -124,14 +124,21 @@ def test_tokens_match_library(monkeypatch):
 
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        t = token_counts.Transducer(f.read())
+        spec = f.read()
+    t = token_counts.Transducer(spec, token_counts.classes(spec))
     r = random.Random(5)
     bits = ["the", "ation", "aaaa", "      ", "<|endoftext|>", "-----", "\n\n", "ÃÂ", "999", " 's", "'ll", " ", "\x85", "\x1c", "漢字", "😀", "é", " ", "\t", "½", "Ⅷ", "́", "\x00"]
-    for chunk in (1 << 16, 7):
+    bits += ["'re", "'r", "'l", "'t", "'ve", "'"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(600)] + ["x" * 300, "x " * 300]
+    # every code point, between a letter, a digit, a sign and spaces
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    texts += ["".join(f"a{chr(i)}1{chr(i)}!{chr(i)} {chr(i)}\n" for i in points[at : at + 500]) for at in range(0, len(points), 500)]
+    want = [len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert t.count(texts).tolist() == want
+    for chunk, block in ((5, 1 << 20), (3, 17), (64, 1)):
         monkeypatch.setattr(token_counts, "CHUNK", chunk)
-        for _ in range(400):
-            s = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
-            assert t.count(s) == len(lib.encode(s, add_special_tokens=False).ids), repr(s)
+        monkeypatch.setattr(token_counts, "BLOCK", block)
+        assert t.count(texts[:602]).tolist() == want[:602]
 
 
 def test_token_counts(spark, edge, nothing):
@@ -183,8 +190,8 @@ def test_decontamination(spark, edge, nothing, monkeypatch):
     docs = frame(spark, [(1, prose(r, 200) + " " + whole.upper() + "! " + prose(r, 50), None, None), (2, prose(r, 300), None, None), (3, f"{prose(r, 20)} {swapped}", None, None), (4, half, None, None)])
     bench = spark.createDataFrame([(7, whole), (8, None), (9, ""), (10, "zz yy")], "item_id long, text string")
     want = {(1, 7), (3, 7)}
-    for block in (8_000_000, 50):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    for rows in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
         got = decontaminate.annotate(docs, bench).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id", "l.coverage").collect()
         assert {(x.doc_id, x.item_id) for x in got} == want
     assert decontaminate.annotate(edge, bench).count() == 9
@@ -192,6 +199,33 @@ def test_decontamination(spark, edge, nothing, monkeypatch):
     assert decontaminate.annotate(docs, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def plain_leaks(text, item, coverage=0.8):
+    """Tiles over the whole document and item, without seeds looked up before."""
+    doc, item = decontaminate.tokens(text or ""), decontaminate.tokens(item or "")
+    return bool(item) and sum(n for n, *_ in plain_tiles(doc, item, min(5, len(item)))) >= coverage * len(item)
+
+
+def test_seed_join_finds_what_plain_tiling_finds(spark):
+    """Items that share common passages, short ones, reordered and partial copies, ideographs."""
+    r = random.Random(22)
+    common = prose(r, 9)
+    items = [f"{common} {prose(r, r.randint(3, 25))}" for _ in range(12)] + [prose(r, n) for n in (1, 2, 4, 5, 6, 12)] + ["一二三四五六七八九十", "w1 w1 w1 w1 w1 w1 w1 w1"]
+    texts = []
+    for _ in range(120):
+        w = r.choice(items).split()
+        if r.random() < 0.5:
+            k = r.randint(0, len(w))
+            w = w[k:] + ["zz"] * r.randint(0, 1) + w[:k]
+        if r.random() < 0.4:
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join([prose(r, r.randint(0, 30)), *w, prose(r, r.randint(0, 30))]))
+    texts += ["序六七八九十のあと一二三四五。", None, "", prose(r, 200), common]
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.annotate(docs, bench).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id").collect()}
+    assert got == {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if plain_leaks(t, item)}
+
+
 # op4
 
 
