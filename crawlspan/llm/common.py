@@ -43,15 +43,16 @@ def kept(keep: tuple[str, ...], own: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(c for c in keep if c.lower() not in taken))
 
 
-#: Rows of an Arrow batch that goes to Python: they hold whole documents.
-BATCH_ROWS = 4000
+#: Rows and bytes of an Arrow batch that goes to Python: rows hold whole documents.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 
 def python_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches cut to BATCH_ROWS if they are still at Spark's default of 10,000 rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df, with the session's Arrow batches bounded by BATCH_ROWS and BATCH_BYTES (a longer text is a batch alone) if they are still at Spark's default of 10,000 rows."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(rows) == "10000":
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
+        df.sparkSession.conf.set(size, str(BATCH_BYTES))
     return df
 
 
