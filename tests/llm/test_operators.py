@@ -549,7 +549,9 @@ def test_shared_passages_are_found(spark, edge, nothing):
         words = t.split()
         at = next(i for i in range(len(words)) if words[i : i + 70] == passage.split())
         assert any(s.start <= at + 2 and s.end >= at + 68 for s in got[d].spans), d
-    assert got[300].copies == 2
+    assert got[300].copies == 2 and got[300].class_id == 300
+    pairs = [(d, o) for d, x in got.items() for o in x.partners]
+    assert len({frozenset(p) for p in pairs}) == len(pairs) and {x for p in pairs for x in p} == {*range(1, 40), 100, 101} and {100, 101} in [set(p) for p in pairs]
     assert {x.doc_id for x in substring_dedup.repeated_passages(edge).collect()} == set()
     assert substring_dedup.repeated_passages(nothing).count() == 0
 
@@ -565,6 +567,20 @@ def test_passages_around_a_frequent_stretch_are_found(spark):
         assert any(s.start <= 80 and s.end >= 131 and s.other == d ^ 1 for s in x.spans), d
 
 
+def test_hot_stretches_pair_every_place_with_another_class(spark, monkeypatch):
+    r = random.Random(23)
+    rows = sorted({(h, r.randrange(3 + 9 * h), r.randrange(1000)) for h in range(4) for _ in range(90)} | {(9, 5, i) for i in range(50)})
+    df = spark.createDataFrame(rows, "h long, a long, i int")
+    monkeypatch.setattr(substring_dedup, "CHAINED", 20)
+    hot = df.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / 20).cast("int").alias("salts")).where("salts > 1")
+    pairs = {((x.a, x["at"] >> 32), (x.b, x["at"] & 0xFFFFFFFF)) for x in substring_dedup.stars(df, hot).collect()}
+    of = {}
+    for h, a, i in rows:
+        of.setdefault((a, i), set()).add(h)
+    assert all(x[0] < y[0] and of[x] & of[y] for x, y in pairs)
+    assert {p for pair in pairs for p in pair} >= {(a, i) for h, a, i in rows if h != 9}
+
+
 def test_chains_reach_every_place_in_any_batches():
     import pandas as pd
 
