@@ -8,18 +8,44 @@ from pyspark.sql import functions as F
 KEY = ("date", "query", "page_key", "device", "country")
 
 
+def latest(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """One row per key: of the highest version, if there is such a column."""
+    if "version" not in rows.columns:
+        return rows.dropDuplicates(list(key))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last("version")))).where("_n = 1").drop("_n")
+
+
 def merge_facts(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """old with the rows of new replacing those of their key; of equal keys in new, the last version (column version, if there is one) wins."""
-    if "version" in new.columns:
-        new = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("version")))).where("_n = 1").drop("_n", "version")
-    else:
-        new = new.dropDuplicates(list(key))
+    """old with the rows of new replacing those of their key.
+
+    Of equal keys in new, the highest version (column version, if there is one) wins; if old has versions,
+    too, a stored row of a higher version stays. Columns that only one side has are kept, null for the other.
+    """
+    if "version" in new.columns and "version" in old.columns:
+        both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        order = Window.partitionBy(*key).orderBy(F.desc_nulls_last("version"), F.desc("_new"))
+        return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
+    new = latest(new, key)
     same = None
     for c in key:
         e = F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
         same = e if same is None else same & e
     kept = old.alias("o").join(new.select(*key).alias("n"), same, "left_anti")
-    return kept.unionByName(new.select(*old.columns))
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def conflicts(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """reason: why the batch can't be merged: the stored facts are of another search type, or one side has a device per row and the other none. No rows: it can.
+
+    A table of facts has one shape and one search type, as sums over it would count twice otherwise. A caller
+    that means to replace the stored facts passes the batch's rows alone, so nothing is lost before they are there.
+    """
+    shape = lambda df: df.agg(F.bool_or(F.coalesce("device", F.lit("")) != "").alias("by_device"), F.bool_or(F.coalesce("device", F.lit("")) == "").alias("whole"), F.array_sort(F.collect_set(F.coalesce("search_type", F.lit("web")))).alias("types"))
+    s, b = shape(stored).select(*[F.col(c).alias(f"s_{c}") for c in ("by_device", "whole", "types")]), shape(batch)
+    mixed = (F.col("s_by_device") & F.col("whole")) | (F.col("s_whole") & F.col("by_device")) | (F.col("by_device") & F.col("whole"))
+    other = (F.size("s_types") > 0) & (F.size("types") > 0) & (F.size(F.array_union("s_types", "types")) > 1)
+    reasons = F.array_compact(F.array(F.when(mixed, "shape"), F.when(other, "search type")))
+    return s.crossJoin(F.broadcast(b)).select(F.explode(reasons).alias("reason"))
 
 
 def resume_from(facts: DataFrame, lag_days: int = 3) -> DataFrame:
@@ -27,18 +53,26 @@ def resume_from(facts: DataFrame, lag_days: int = 3) -> DataFrame:
     return facts.agg(F.date_sub(F.max("date"), lag_days).alias("start"))
 
 
+def stored_days(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored at path. Any other trouble with it raises."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "date=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def replace_days(spark: SparkSession, path: str, batch: DataFrame, epoch: int = 0) -> None:
-    """foreachBatch sink: days of the batch are merged and rewritten, other days' partitions aren't touched."""
-    from pyspark.errors import AnalysisException
-
-    days = batch.select("date").distinct()
-    try:
-        stored = spark.read.parquet(path).join(F.broadcast(days), "date", "left_semi").select(*batch.columns)
-        out = merge_facts(stored, batch)
-    except AnalysisException:  # nothing stored yet
-        out = batch.dropDuplicates(list(KEY))
+    """foreachBatch sink: days of the batch are merged with what is stored of them and rewritten; other days' partitions aren't touched.
+
+    Columns may be added from batch to batch; version, if there is one, is stored. Days don't lose rows: a
+    stored row goes only for one of its key.
+    """
     from ..operators.graph import cut
 
+    out = latest(batch)
+    if stored_days(spark, path):
+        days = batch.select("date").distinct()
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+        out = merge_facts(stored.join(F.broadcast(days), "date", "left_semi"), batch)
     # the partitions that are overwritten are read for it, so the result is cut from them first
     cut(out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 

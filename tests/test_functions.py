@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crawlspan.functions import jsonld, urls
-from crawlspan.operators import adhoc, crawl, demand, graph, recon
+from crawlspan.operators import adhoc, crawl, demand, graph, recon, research, structured
 from crawlspan.plans.registry import ready
 from crawlspan.sources import sinks
 from crawlspan.streaming import facts
@@ -156,13 +156,78 @@ def test_merge_and_streams(spark, tmp_path):
     assert {(str(r.date), r.n) for r in out} == {("2024-01-01", 2), ("2024-01-02", 1)}
 
 
+def test_days_never_lose_rows(spark, tmp_path):
+    """Batches with one more column, with versions, of days not stored yet; only a missing folder counts as nothing stored."""
+    d, e = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    cols = "date date, query string, page_key string, device string, country string, clicks int"
+    row = lambda q, n, day=d: (day, q, "p", "", None, n)
+    path = str(tmp_path / "facts")
+    facts.replace_days(spark, path, spark.createDataFrame([row("q1", 1), row("q2", 1)], cols))
+    facts.replace_days(spark, path, spark.createDataFrame([(*row("q3", 3), "x")], cols + ", extra string"))
+    facts.replace_days(spark, path, spark.createDataFrame([row("q4", 4, e), row("q1", 5)], cols))
+    got = spark.read.option("mergeSchema", True).parquet(path)
+    assert sorted((r["query"], r.clicks, r.extra) for r in got.collect()) == [("q1", 5, None), ("q2", 1, None), ("q3", 3, "x"), ("q4", 4, None)]
+    path = str(tmp_path / "versions")
+    facts.replace_days(spark, path, spark.createDataFrame([(*row("q1", 1), 1), (*row("q1", 2), 2), (*row("q2", 1), 1)], cols + ", version int"))
+    facts.replace_days(spark, path, spark.createDataFrame([(*row("q3", 3), 2), (*row("q1", 9), 1)], cols + ", version int"))
+    assert sorted((r["query"], r.clicks) for r in spark.read.parquet(path).collect()) == [("q1", 2), ("q2", 1), ("q3", 3)]
+    (tmp_path / "broken" / "date=2024-01-01").mkdir(parents=True)
+    (tmp_path / "broken" / "date=2024-01-01" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        facts.replace_days(spark, str(tmp_path / "broken"), spark.createDataFrame([row("q1", 1)], cols))
+    typed = lambda device, kind: spark.createDataFrame([(device, kind)], "device string, search_type string")
+    why = lambda a, b: sorted(r.reason for r in facts.conflicts(a, b).collect())
+    assert why(typed("", None), typed("", "web")) == [] and why(typed("", "web").limit(0), typed("x", "news")) == []
+    assert why(typed("", "web"), typed("mobile", "news")) == ["search type", "shape"]
+
+
+def test_ledger_flow(spark):
+    ledger = spark.createDataFrame([("a", "x", "open", 2.0), ("b", "x", "shipped", 1.0), ("c", "y", "drafted", 1.0)], "url_key string, action string, status string, priority double")
+    changes = spark.createDataFrame([("a", "x", "researching", "n1", None), ("a", "x", "drafted", "n2", None), ("b", "x", "open", "no", None), ("c", "y", None, "later", "more clicks"), ("z", "z", "open", None, None), ("c", "y", "lost", None, None)], "url_key string, action string, status string, note string, outcome string")
+    got = {r.url_key: (r.status, r.note, r.outcome) for r in research.update_ledger(ledger, changes).collect()}
+    assert got == {"a": ("drafted", "n1\nn2", None), "b": ("shipped", None, None), "c": ("drafted", "later", "more clicks")}
+    assert {r.url_key: (r.todos, r.states) for r in research.board(ledger).collect()} == {"a": (1, "open"), "c": (1, "drafted")}
+
+
+def test_sitemap_indexes(spark):
+    index = "<sitemapindex><sitemap><loc>{}</loc></sitemap><sitemap><loc>{}</loc></sitemap></sitemapindex>"
+    files = spark.createDataFrame([("r", index.format("a?x=1&amp;y=2", "b")), ("a?x=1&y=2", "<urlset><url><loc> http://s/&#233;?p=1&amp;q </loc><lastmod>2024-01-02T03:04</lastmod></url><url><loc>http://s/2</loc></url></urlset>"), ("b", index.format("r", "c")), ("c", "<loc>http://s/3</loc>"), ("d", "<url><loc>http://s/4</loc></url>")], "url string, value string")
+    got = {r.url: str(r.lastmod) for r in crawl.sitemap_tree(files, ["r"]).collect()}
+    assert got == {"http://s/é?p=1&q": "2024-01-02", "http://s/2": "None", "http://s/3": "None"}
+    assert crawl.sitemap_tree(files, ["r"], max_sitemaps=2).count() == 2 and crawl.sitemap_tree(files, ["r"], max_urls=1).count() == 1
+
+
+def test_what_a_crawl_leaves_out(spark):
+    skip = "https://s/?q=1 https://s/?filter.x=1 https://s/a.PDF https://s/a.css?v=1 https://s/cart https://s/wp-admin/x https://s/search/ https://s/oauth/ mailto:x".split()
+    keep = "https://s/ https://s/cartoon https://s/a.html https://s/?page=2 https://s/feed/ https://s/pdf".split()
+    df = spark.createDataFrame([(u,) for u in skip + keep], "url string")
+    assert sorted(r.url for r in df.where(crawl.crawlable(F.col("url"))).collect()) == sorted(keep)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10, 11, 500])
+def test_value_at_a_rank(spark, n):
+    df = spark.createDataFrame([(float(i * 7 % 13),) for i in range(n)], "v double")
+    want = sorted(float(i * 7 % 13) for i in range(n))[min(n - 1, int(n * 0.9))]
+    assert [r.v for r in structured.at_rank(df, 0.9, 4).collect()] == [want]
+
+
+def test_rewritten_files_are_read_anew(spark, data, tmp_path):
+    import shutil
+
+    shutil.copytree(data, tmp_path / "sf")
+    before = ready(spark, str(tmp_path / "sf")).table("p_sa").count()
+    shutil.rmtree(tmp_path / "sf" / "lineitem.parquet") if (tmp_path / "sf" / "lineitem.parquet").is_dir() else (tmp_path / "sf" / "lineitem.parquet").unlink()
+    spark.read.parquet(f"{data}/lineitem.parquet").limit(100).write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    assert ready(spark, str(tmp_path / "sf")).table("p_sa").count() < before
+
+
 def test_serp_and_ledger(spark):
     items = '[{"type":"organic","rank_group":1,"domain":"x.example"},{"type":"organic","rank_group":4,"domain":"www.own.example"},{"type":"ai_overview","references":[{"url":"https://a.example/1"}],"items":[{"references":[{"url":"https://own.example/z"}]}]},{"type":"video","items":[]}]'
     r = recon.parse_serp(spark.createDataFrame([("q", items)], "query string, items string"), "own.example").first()
     assert (r.organic_rank, r.aio_present, r.aio_cites_us, r.video_present, r.n_cited) == (4, True, True, True, 2)
-    ledger = spark.createDataFrame([("u", "a", "open"), ("u", "b", "done")], "url_key string, action string, status string")
+    ledger = spark.createDataFrame([("u", "a", "open"), ("u", "b", "shipped")], "url_key string, action string, status string")
     new = spark.createDataFrame([("u", "a"), ("u", "b"), ("u", "b")], "url_key string, action string")
-    assert recon.add_to_ledger(ledger, new).count() == 3
+    assert research.add_to_ledger(ledger, new).count() == 3
 
 
 def test_sinks(spark, tmp_path):
