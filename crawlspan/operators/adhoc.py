@@ -67,3 +67,17 @@ def query_data(spark, table: str, mode: str = "aggregate", group_by: tuple[str,
         raise BadQuery(f"can't order by {by}")
     order = [] if by is None else [F.desc(by) if descending else F.asc(by)]
     return out.orderBy(*order, *ties).offset(offset).limit(limit)
+
+
+def paging(spark, table: str, filters: tuple[tuple, ...] = (), limit: int = 50, offset: int = 0) -> DataFrame:
+    """total, returned, next_offset (null at the end): where a page of rows mode stands among the rows that fit."""
+    if table not in TABLES:
+        raise BadQuery(f"no such table: {table}")
+    df = spark.table("p_" + table)
+    for f in filters:
+        if f[0] not in df.columns:
+            raise BadQuery(f"no such column: {f[0]}")
+        df = df.where(condition(df, *f))
+    last = F.least(F.col("total"), F.lit(offset + limit).cast("long"))
+    t = df.agg(F.count(F.lit(1)).alias("total"))
+    return t.select("total", F.greatest(F.lit(0).cast("long"), last - offset).alias("returned"), F.when(last < F.col("total"), last).alias("next_offset"))

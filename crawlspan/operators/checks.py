@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 from ..plans.dialect import Dialect
 
-D = "(SELECT max(date) FROM p_sa)"
-HTML = "content_type LIKE '%text/html%'"
+D = "(SELECT day FROM p_day)"
+# Media types of HTML.
+HTML = "(lower(content_type) LIKE 'text/html%' OR lower(content_type) LIKE 'application/xhtml+xml%')"
 OK = f"status_code = 200 AND {HTML}"
 WPOS = "sum(position * impressions) / nullif(sum(impressions), 0)"
 
@@ -63,8 +64,8 @@ def paged(q: Dialect, col: str = "url_key") -> str:
     return q.rlike(col, "/page/[0-9]|[?&]page=[0-9]|[?&]paged=[0-9]")
 
 
-def no_brand(q: Dialect, brand: str | None = None) -> str:
-    return f" AND NOT {q.contains(chr(99) + 'oncat(' + repr(' ') + ', lower(query), ' + repr(' ') + ')', repr(f' {brand} '))}" if brand else ""
+#: Leaves out queries that have the property's brand as a word; without a brand, none.
+NO_BRAND = "NOT coalesce(contains(concat(' ', lower(query), ' '), concat(' ', (SELECT max(brand) FROM p_brand), ' ')), false)"
 
 
 def totals(where: str, keys: str = "page_key", more: str = "") -> str:
@@ -123,14 +124,14 @@ HEADED = lambda q: q.size(q.filter("body_chunks", "c", "c.heading IS NOT NULL AN
 rule("poor-chunkability", "content", "low", 3, "per-page", lambda q: f"{OK} AND {IDX} AND word_count >= 400 AND body_chunks IS NOT NULL AND {HEADED(q)} <= 1", "word_count")
 check("content-bloat", "content", "low", "D+N", 5, "per-page", 0.6)(lambda q: f"SELECT * FROM (SELECT url_key, word_count, {HEADED(q)} AS headed_sections, CAST(floor(word_count / CAST(greatest(1, {HEADED(q)}) AS DOUBLE) + 0.5) AS BIGINT) AS words_per_section FROM p_pages WHERE {OK} AND {IDX} AND word_count >= 2500 AND body_chunks IS NOT NULL) s WHERE words_per_section > 500")
 # Fixed value: openings that lean on the text before.
-LEANS = "^(it|this|that|these|those|they|he|she|such|there|here)( |$)"
+LEANS = "^(it|this|that|these|those|they|he|she|there|here|such|one)([^a-z0-9_]|$)"
 
 
 @check("low-extractability", "content", "low", "D+N", 3, "per-page", 0.5)
 def low_extractability(q):
     long = q.filter("body_chunks", "c", "length(c.text) > 60")
     leans = q.filter("body_chunks", "c", f"length(c.text) > 60 AND {q.rlike('lower(trim(c.text))', LEANS)}")
-    return f"SELECT * FROM (SELECT url_key, {q.size(leans)} AS dependent_sections, {q.size(long)} AS total_sections FROM p_pages WHERE {OK} AND {IDX} AND word_count >= 400 AND body_chunks IS NOT NULL) s WHERE total_sections >= 3 AND dependent_sections * 2 >= total_sections"
+    return f"SELECT * FROM (SELECT url_key, {q.size(leans)} AS dependent_sections, {q.size(long)} AS total_sections FROM p_pages WHERE status_code = 200 AND {IDX} AND word_count >= 400 AND body_chunks IS NOT NULL) s WHERE total_sections >= 3 AND dependent_sections * 2 >= total_sections"
 
 
 def repeated(col: str, name: str):
@@ -160,13 +161,14 @@ check("underlinked-editorial", "merged", "high", "D+G", 3, "per-page", top="impr
 
 @check("anchor-text-incoherent", "merged", "med", "D+G", 3, "per-page")
 def anchor_text_incoherent(q):
-    pool = "string_agg(anchor_text, ' ' ORDER BY anchor_text)" if q.duck else "array_join(sort_array(collect_list(anchor_text)), ' ')"
-    return f"""WITH body AS (SELECT target_key, anchor_text, source_key, lower(trim(anchor_text)) AS anchor FROM p_links WHERE is_internal AND placement = 'body' AND source_key <> target_key AND {q.rlike('lower(anchor_text)', '[a-z]')}),
+    """Each distinct anchor of a page is held against its top query; anchors that a large part of the site uses are chrome."""
+    return f"""WITH body AS (SELECT target_key, source_key, lower(trim(anchor_text)) AS anchor FROM p_links WHERE is_internal AND placement = 'body' AND source_key <> target_key AND {q.rlike('lower(anchor_text)', '[a-z]')}),
     templated AS (SELECT anchor FROM body GROUP BY anchor HAVING count(DISTINCT source_key) > greatest(20, (SELECT count(*) FROM p_pages WHERE {OK}) * 0.15)),
-    pools AS (SELECT target_key, {pool} AS pool, count(*) AS n FROM body WHERE anchor NOT IN (SELECT anchor FROM templated) GROUP BY target_key HAVING count(*) >= 3),
-    tq AS ({top_query()})
-    SELECT p.url_key, tq.query AS top_query, tq.impr AS impressions, a.n AS inbound_in_content_links FROM tq JOIN p_pages p ON p.url_key = tq.page_key JOIN pools a ON a.target_key = p.url_key
-    WHERE p.indexable AND tq.impr >= 100 AND {q.size(q.terms('tq.query'))} > 0 AND NOT {q.any(q.terms('tq.query'), 'x', q.mentions('a.pool', 'x'))}"""
+    anchors AS (SELECT b.target_key, b.anchor, count(*) AS n FROM body b LEFT JOIN templated t ON t.anchor = b.anchor WHERE t.anchor IS NULL GROUP BY b.target_key, b.anchor),
+    tq AS ({top_query(NO_BRAND)}),
+    said AS (SELECT p.url_key, tq.query AS top_query, tq.impr AS impressions, a.n, CASE WHEN {q.any(q.terms('tq.query'), 'x', q.mentions('a.anchor', 'x'))} THEN 1 ELSE 0 END AS says
+        FROM tq JOIN p_pages p ON p.url_key = tq.page_key JOIN anchors a ON a.target_key = p.url_key WHERE p.indexable AND tq.impr >= 100 AND {q.size(q.terms('tq.query'))} > 0)
+    SELECT url_key, top_query, impressions, CAST(sum(n) AS BIGINT) AS inbound_in_content_links FROM said GROUP BY url_key, top_query, impressions HAVING sum(n) >= 3 AND max(says) = 0"""
 
 
 # crawl x search
@@ -174,8 +176,8 @@ check("noindex-with-traffic", "indexation", "crit", "D+G", 1, "per-page", top="c
 check("orphan-with-impressions", "merged", "high", "D+G", 5, "per-page", top="impressions")(lambda q: f"SELECT p.url_key, s.impressions, s.clicks, p.inlink_count AS inlinks, s.clicks / CAST(nullif((SELECT sum(clicks) FROM p_sa WHERE {win()}), 0) AS DOUBLE) AS traffic_share FROM p_pages p JOIN ({totals(win())}) s ON s.page_key = p.url_key WHERE p.inlink_count = 0 AND p.indexable AND s.impressions > 0")
 check("canonical-ignored", "indexation", "high", "D+G", 3, "per-page", top="impressions")(lambda q: f"SELECT p.url_key, p.canonical_key AS declared_canonical, s.impressions, s.clicks FROM p_pages p JOIN ({totals(win())}) s ON s.page_key = p.url_key WHERE p.canonical_key <> p.url_key AND s.impressions >= 50 ORDER BY s.impressions DESC, p.url_key LIMIT 40")
 # Fixed value: URL shapes that search engines should not index.
-JUNK = "[?&](sort|filter|color|size|replytocom|sessionid|sid|s)=|/(cart|checkout|wp-json|feed|search)(/|$)"
-check("indexed-junk-url", "indexation", "high", "D+G", 3, "global", top="impressions")(lambda q: f"SELECT page_key AS url_key, impressions, clicks FROM ({totals(win())}) s WHERE impressions >= 30 AND {q.rlike('page_key', JUNK)} ORDER BY impressions DESC, page_key LIMIT 40")
+JUNK = "[?&](q|s|search|keyword|orderby|sort_by|filter|variant|pf_|dppref|replytocom)=|/search(-results)?/"
+check("indexed-junk-url", "indexation", "high", "D+G", 3, "global", top="impressions")(lambda q: f"SELECT page_key AS url_key, impressions, clicks FROM ({totals(win())}) s WHERE impressions >= 30 AND {q.rlike('lower(page_key)', JUNK)} ORDER BY impressions DESC, page_key LIMIT 40")
 check("coverage-not-indexed", "indexation", "high", "G", 5, "per-page")(lambda q: "SELECT url_key, coverage_state FROM p_inspection WHERE coverage_state ILIKE '%not indexed%'")
 check("canonical-conflict", "indexation", "high", "G", 3, "per-page")(lambda q: "SELECT url_key, google_canonical, user_canonical FROM p_inspection WHERE google_canonical <> user_canonical")
 check("striking-distance", "merged", "high", "G", 5, "per-page", top="impressions")(lambda q: f"SELECT page_key AS url_key, query, position, impressions FROM ({totals(win() + ' AND query IS NOT NULL', 'query, page_key')}) s WHERE position > 10 AND position <= 20 AND impressions >= 20 ORDER BY impressions DESC, query, page_key LIMIT 50")
@@ -183,13 +185,18 @@ check("striking-distance", "merged", "high", "G", 5, "per-page", top="impression
 
 @check("keyword-cannibalisation", "merged", "high", "G", 5, "per-page", top="impressions")
 def keyword_cannibalisation(q):
+    """Pages that compete for a query, with the titles of the two largest; distinct titles hint at pages that differ on purpose."""
     by = "impressions DESC, page_key"
     names = f"list(page_key ORDER BY {by})" if q.duck else "transform(sort_array(collect_list(struct(-impressions AS i, page_key AS url))), x -> x.url)"
     shown = f"list(impressions ORDER BY {by})" if q.duck else "transform(sort_array(collect_list(-impressions)), x -> -x)"
     listed = f"{q.join(names)} AS urls, {q.join(q.map(shown, 'v', q.text('v')))} AS url_impressions"
-    return f"""WITH s AS (SELECT *, max(impressions) OVER (PARTITION BY query) AS lead FROM ({totals(win() + ' AND query IS NOT NULL AND page_key IS NOT NULL', 'query, page_key')}) t WHERE position < 20 AND impressions >= 10)
-    SELECT CAST(NULL AS STRING) AS url_key, query, count(*) AS competing_urls, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, min(position) AS best_position, max(position) AS worst_position, (min(position) + max(position)) / 2 AS position, {listed}
-    FROM s WHERE impressions >= lead * 0.1 OR impressions >= 500 GROUP BY query HAVING count(*) >= 2 AND sum(impressions) >= 50 AND max(position) > 2 ORDER BY impressions DESC, query LIMIT 40"""
+    both = q.size(q.filter("terms_1", "w", f"NOT {q.has('terms_q', 'w')} AND {q.has('terms_2', 'w')}"))
+    return f"""WITH s AS (SELECT *, max(impressions) OVER (PARTITION BY query) AS lead FROM ({totals(win() + f' AND query IS NOT NULL AND page_key IS NOT NULL AND {NO_BRAND}', 'query, page_key')}) t WHERE position < 20 AND impressions >= 10),
+    r AS (SELECT s.*, p.title, row_number() OVER (PARTITION BY query ORDER BY impressions DESC, page_key) AS place FROM s LEFT JOIN p_pages p ON p.url_key = s.page_key WHERE impressions >= lead * 0.1 OR impressions >= 500),
+    g AS (SELECT CAST(NULL AS STRING) AS url_key, query, count(*) AS competing_urls, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, min(position) AS best_position, max(position) AS worst_position, (min(position) + max(position)) / 2 AS position, {listed},
+        max(CASE WHEN place = 1 THEN title END) AS title_1, max(CASE WHEN place = 2 THEN title END) AS title_2 FROM r GROUP BY query HAVING count(*) >= 2 AND sum(impressions) >= 50 AND max(position) > 2 ORDER BY impressions DESC, query LIMIT 40),
+    w AS (SELECT *, {q.terms('query')} AS terms_q, {q.terms('title_1')} AS terms_1, {q.terms('title_2')} AS terms_2 FROM g)
+    SELECT url_key, query, competing_urls, clicks, impressions, best_position, worst_position, position, urls, url_impressions, title_1, title_2, title_1 IS NOT NULL AND title_2 IS NOT NULL AND {both} < 2 AS differentiated FROM w"""
 
 
 check("ctr-below-expected", "merged", "high", "G", 3, "per-page", top="impressions")(lambda q: f"SELECT * FROM (SELECT page_key AS url_key, position, clicks / CAST(impressions AS DOUBLE) AS ctr, {q.ctr('position')} AS expected_ctr, impressions FROM ({totals(win() + ' AND page_key IS NOT NULL')}) s WHERE position <= 10 AND impressions >= 500) t WHERE ctr < 0.5 * expected_ctr")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -10,12 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKIPPED = frozenset(("script", "style", "noscript", "template"))
+UNSEEN = frozenset(("script", "style", "noscript", "template"))
 CHROME = frozenset(("nav", "header", "footer", "aside"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("p div section article li td th tr h1 h2 h3 h4 h5 h6 br blockquote pre dd dt main ul ol table".split())
 # Fixed value: snippets of common analytics.
-ANALYTICS = re.compile(r"googletagmanager\.com|google-analytics\.com|gtag\(|plausible\.io|matomo|cdn\.segment\.com|static\.hotjar\.com|clarity\.ms", re.I)
+ANALYTICS = re.compile(r"googletagmanager\.com|google-analytics\.com|gtag\(|plausible\.io|matomo|_paq\b|usefathom\.com|clarity\.ms|cloudflareinsights\.com|mixpanel|heap-\d|segment\.com/analytics", re.I)
 MAX_CHUNKS, MAX_CHUNK, MIN_CHUNK, MAX_ANCHOR = 40, 1500, 20, 300
 
 FIELDS = """url string, title string, meta_description string, h1 string, h1_count int, h2_count int, heading_skips int, word_count int, lang string, charset string, canonical_url string, canonical_count int,
@@ -160,7 +161,7 @@ class Reader(HTMLParser):
         if "title" in self.open and self.r["title"] is None and not self.inside(("svg",)):
             self.r["title"] = squeeze(data) or None
             return
-        if self.inside(SKIPPED) or self.inside(("head", "title")):
+        if self.inside(UNSEEN) or self.inside(("head", "title")):
             return
         self.words.append(data)
         if self.anchor is not None:
@@ -210,7 +211,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def indexability(status: Column, content_type: Column, header_robots: Column, noindex: Column, canonical: Column, key: Column) -> Column:
     """The first reason that keeps a page out of the index; null if there is none."""
-    c = F.when(status >= 500, "http-5xx").when(status >= 400, "http-4xx").when(status >= 300, "redirect").when(~F.coalesce(content_type.contains("text/html"), F.lit(False)), "non-html")
+    c = F.when(status >= 500, "http-5xx").when(status >= 400, "http-4xx").when(status >= 300, "redirect").when(~F.coalesce(F.lower(content_type).rlike("^(text/html|application/xhtml[+]xml)"), F.lit(False)), "non-html")
     return c.when(F.coalesce(F.lower(header_robots).contains("noindex"), F.lit(False)), "noindex-header").when(noindex, "noindex-meta").when(canonical != key, "canonicalised")
 
 
@@ -243,12 +244,27 @@ def allowed(urls: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     return u.join(hit, "_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True))).drop("_id")
 
 
+def sitemap_rows(files: DataFrame) -> DataFrame:
+    """(value: a sitemap's XML, other columns) -> the other columns, url, lastmod; numeric and named entities are decoded."""
+    others = [c for c in files.columns if c != "value"]
+
+    def run(batches):
+        for b in batches:
+            b = b.copy()
+            b["url"] = [unescape(x).strip() for x in b["raw"]]
+            yield b.drop(columns="raw")
+
+    blocks = F.regexp_extract_all("value", F.lit(r"(?s)<url>(.*?)</url>"), 1)
+    # without <url> blocks, bare <loc>s count
+    u = files.select(*others, F.explode(F.when(F.size(blocks) > 0, blocks).otherwise(F.regexp_extract_all("value", F.lit(r"(<loc>[^<]*</loc>)"), 1))).alias("u"))
+    u = u.select(*others, F.regexp_extract("u", r"<loc>\s*([^<]*?)\s*</loc>", 1).alias("raw"), F.try_to_date(F.substring(F.regexp_extract("u", r"<lastmod>\s*([^<]*)", 1), 1, 10)).alias("lastmod")).where("raw <> ''")
+    schema = u.drop("raw").withColumn("url", F.lit("")).schema
+    return u.select(*others, "lastmod", "raw").mapInPandas(run, schema)
+
+
 def sitemap_urls(files: DataFrame) -> DataFrame:
     """(value: a sitemap's XML) -> url, lastmod; the first of equal URLs."""
-    u = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<url>(.*?)</url>"), 1)).alias("u"))
-    entity = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    u = u.select(entity(F.trim(F.regexp_extract("u", r"<loc>\s*([^<]*?)\s*</loc>", 1))).alias("url"), F.try_to_date(F.substring(F.regexp_extract("u", r"<lastmod>\s*([^<]*)", 1), 1, 10)).alias("lastmod")).where("url <> ''")
-    return u.groupBy("url").agg(F.min("lastmod").alias("lastmod"))
+    return sitemap_rows(files.select("value")).groupBy("url").agg(F.min("lastmod").alias("lastmod"))
 
 
 def news_items(files: DataFrame) -> DataFrame:
@@ -259,10 +275,47 @@ def news_items(files: DataFrame) -> DataFrame:
     return i.select(F.when(F.col("own") == "", F.regexp_replace("headline", r" - [^-]*$", "")).otherwise(F.col("headline")).alias("title"), "link", F.when(F.col("own") == "", F.regexp_extract("headline", r" - ([^-]*)$", 1)).otherwise(F.col("own")).alias("source"), "published")
 
 
-# What a crawl leaves out.
-ASSETS = r"(?i)\.(jpe?g|png|gif|webp|avif|svg|ico|css|js|mjs|json|xml|pdf|zip|gz|mp4|webm|mp3|woff2?|ttf|eot)$"
-JUNK = r"(?i)/wp-json/|/feed/?$|[?&](replytocom|add-to-cart|share)=|/xmlrpc\.php|/wp-admin/|/cart/?$|^(mailto|tel|javascript):"
-
-
-def crawlable(url: Column) -> Column:
-    return ~F.regexp_replace(url, r"[?#].*$", "").rlike(ASSETS) & ~url.rlike(JUNK)
+# Endings of files whose body a crawl doesn't need.
+ASSETS = """jpg jpeg png gif webp avif svg svgz ico bmp tif tiff heic psd pdf zip rar 7z gz tgz tar bz2 mp4 mpeg mpg m4v webm mov avi mkv flv wmv mp3 m4a aac opus weba wav ogg oga flac wma
+css js mjs cjs map woff woff2 ttf otf eot dmg exe msi apk bin doc docx xls xlsx ppt pptx""".split()
+# URLs that a crawl leaves out.
+SKIPPED = (
+    r"[?&](sps_query|s|q|search|keyword|orderby|sort_by|add-to-cart|fl_builder|elementor-preview)=",
+    r"[?&](pf_|filter[._]|dppref|variant=)",
+    r"[?&](client_id|redirect_uri|response_type)=|/authentication/|/oauth/|/login_with_shop/",
+    r"/search(-results)?/",
+    r"[?&]replytocom=",
+    r"/(wp-json|wp-admin|wp-login\.php|xmlrpc\.php)(/|$|\?)",
+    r"/(cart|checkout|my-account|basket)(/|$)",
+)
+
+
+def is_asset(url: Column) -> Column:
+    return F.regexp_replace(url, r"[?#].*$", "").rlike(rf"(?i)\.({'|'.join(ASSETS)})$")
+
+
+def crawlable(url: Column, extra: tuple[str, ...] = ()) -> Column:
+    """Whether a page is worth fetching: no pattern to skip, no asset, and a web address."""
+    return ~url.rlike("(?i)" + "|".join((*SKIPPED, *extra))) & ~is_asset(url) & ~url.rlike("(?i)^(mailto|tel|javascript):")
+
+
+def sitemap_tree(files: DataFrame, roots: list[str], max_sitemaps: int = 60, max_urls: int = 100_000) -> DataFrame:
+    """(url, value: XML) of fetched sitemaps -> url, lastmod of the pages that the roots lead to, through sitemap indexes.
+
+    An index adds its children, breadth first, up to max_sitemaps files in all; at most max_urls pages are kept,
+    in order of file and URL. A file that isn't there or is met again adds nothing.
+    """
+    spark, done, todo = files.sparkSession, [], list(dict.fromkeys(roots))[:max_sitemaps]
+    while todo:
+        done += todo
+        level = files.where(F.col("url").isin(todo) & F.col("value").rlike(r"(?i)<sitemapindex[\s>]"))
+        children = level.select("url", F.posexplode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+?)\s*</loc>"), 1)).alias("at", "child"))
+        place = {u: i for i, u in enumerate(todo)}
+        found = sorted(children.limit(max_sitemaps * 1000).collect(), key=lambda r: (place[r.url], r.at))
+        seen = set(done)
+        todo = [u for u in dict.fromkeys(unescape(r.child) for r in found) if u not in seen][: max_sitemaps - len(done)]
+    order = spark.createDataFrame(list(enumerate(done)), "file int, url string")
+    pages = files.join(F.broadcast(order), "url").where(~F.col("value").rlike(r"(?i)<sitemapindex[\s>]"))
+    listed = sitemap_rows(pages.select("file", "value"))
+    one = listed.groupBy("url").agg(F.min_by("lastmod", F.struct("file", F.col("lastmod").isNull())).alias("lastmod"), F.min("file").alias("file"))
+    return one.orderBy("file", "url").limit(max_urls).select("url", "lastmod")

@@ -124,3 +124,9 @@ dataset("trapped_authority")(lambda q: "SELECT b.url_key, b.referring_domains, p
 dataset("growing_declining")(lambda q: f"SELECT count(CASE WHEN clicks > 1.03 * prior_clicks THEN 1 END) AS growing, count(CASE WHEN clicks < 0.97 * prior_clicks THEN 1 END) AS declining FROM ({pair('page_key', 'page_key IS NOT NULL')}) t")
 dataset("date_alignment")(lambda q: f"SELECT greatest(min(date), CAST('2000-01-01' AS DATE)) AS first_day, least(max(date), {D}) AS last_day, count(DISTINCT date) AS days FROM p_sa")
 dataset("link_prospects")(lambda q: "SELECT competitor AS domain, count(*) AS keywords, CAST(max(volume) AS BIGINT) AS max_volume, sum(etv) AS etv FROM p_keywords GROUP BY competitor ORDER BY keywords DESC, domain LIMIT 100")
+
+
+@dataset("payload")
+def payload(q: Dialect):
+    """Every dataset's name and number of rows: the dashboard in one statement, over the stored facts."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n FROM ({f(q)}) d_{n}" for n, f in DATASETS.items() if n != "payload")

@@ -45,7 +45,7 @@ def freshness(q: Dialect, as_of: str | None = None, grace: int = 2) -> str:
     Days within ``grace`` of as_of never count; of the rest, up to three trailing days under half the
     median of the stable days before (21, ending three days earlier) are trimmed, if there are eight.
     """
-    day = f"DATE '{as_of}'" if as_of else "(SELECT max(date) FROM p_sa) + INTERVAL 2 DAY"
+    day = f"DATE '{as_of}'" if as_of else "(SELECT day FROM p_day) + INTERVAL 2 DAY"
     return f"""WITH days AS (SELECT date, CAST(sum(impressions) AS BIGINT) AS i FROM p_sa WHERE date IS NOT NULL GROUP BY date),
         kept AS (SELECT date, i, row_number() OVER (ORDER BY date DESC) AS back, count(*) OVER () AS n FROM days WHERE date <= {day} - INTERVAL {grace} DAY AND date > {day} - INTERVAL 400 DAY),
         stable AS (SELECT i, row_number() OVER (ORDER BY i, date) AS place, count(*) OVER () AS n FROM kept WHERE back BETWEEN 4 AND 24),

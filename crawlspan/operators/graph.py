@@ -10,12 +10,27 @@ BODY, OTHER, DAMPING, ROUNDS, CLOSE = 1.0, 0.2, 0.85, 30, 1e-6
 CHECK_EVERY = 5
 
 
+def shared_dir(spark) -> str:
+    """The folder for what is written between steps: the one that the session names. Only a local session may go without."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        import tempfile
+
+        _OWN.append(tempfile.mkdtemp(prefix="crawlspan-"))
+    return _OWN[0]
+
+
+#: The folder of a local session without one.
+_OWN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawlspan-ckpt-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

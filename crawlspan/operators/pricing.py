@@ -40,8 +40,10 @@ def common(id: str, df: DataFrame) -> DataFrame:
     evidence = [c for c in df.columns if c != "url_key"]
     key = F.coalesce(F.col("url_key"), F.lit(""))
     ev = F.to_json(F.struct(*evidence)) if evidence else F.lit("{}")
-    out = df.select(F.lit(id).alias("check_id"), "url_key", *[(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in STANDARD.items()], ev.alias("evidence"), F.row_number().over(Window.partitionBy(F.lit(id)).orderBy(*order, key, ev)).alias("place"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(id))).alias("found"))
-    return out.where(F.col("place") <= KEPT)
+    found = df.agg(F.count(F.lit(1)).alias("found"))
+    rows = df.select(F.lit(id).alias("check_id"), "url_key", *[(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in STANDARD.items()], ev.alias("evidence"), *[F.col(top).alias("_top") for _ in order])
+    kept = rows.orderBy(*[F.desc("_top") for _ in order], key, "evidence").limit(KEPT).drop("_top")
+    return kept.crossJoin(F.broadcast(found))
 
 
 def price(findings: DataFrame, spark) -> DataFrame:

@@ -81,11 +81,4 @@ def todos(facts: DataFrame) -> DataFrame:
     return facts.select("url_key", "query", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("todo")).select("url_key", "query", "todo.action", "todo.type", "todo.priority")
 
 
-def add_to_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:
-    """The ledger with the to-dos that have no open entry of the same page and action."""
-    open_ = ledger.where("status IN ('open', 'in-progress')").select("url_key", "action").distinct()
-    fresh = new.dropDuplicates(["url_key", "action"]).join(open_, ["url_key", "action"], "left_anti").withColumn("status", F.lit("open"))
-    return ledger.unionByName(fresh, allowMissingColumns=True)
-
-
-__all__ = ["SPARK", "add_to_ledger", "cluster_rivals", "opportunity", "page_state", "parse_serp", "targets", "todos"]
+__all__ = ["SPARK", "cluster_rivals", "opportunity", "page_state", "parse_serp", "targets", "todos"]

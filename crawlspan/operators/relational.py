@@ -79,7 +79,8 @@ op("fn_math", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 2
 op("fn_ctr_curve", lambda q: f"SELECT DISTINCT l_linenumber, {q.ctr('l_linenumber * 1.5')} AS expected FROM lineitem")
 op("fn_json", lambda q: "SELECT event_id, " + ("json_extract_string(props, '$.k')" if q.duck else "get_json_object(props, '$.k')") + " AS k FROM events")
 op("fn_terms", lambda q: f"SELECT p_partkey, {q.join(q.terms('p_name'), '|')} AS terms FROM part")
-op("fn_jaccard", lambda q: f"SELECT a.n_nationkey AS a, b.n_nationkey AS b, {q.size(q.common(q.split('lower(a.n_name)', ' '), q.split('lower(b.n_name)', ' ')))} AS shared FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+A, B = (lambda q: q.split("lower(a.n_name)", " ")), (lambda q: q.split("lower(b.n_name)", " "))
+op("fn_jaccard", lambda q: f"SELECT a.n_nationkey AS a, b.n_nationkey AS b, {q.size(q.common(A(q), B(q)))} / CAST({q.size(A(q))} + {q.size(B(q))} - {q.size(q.common(A(q), B(q)))} AS DOUBLE) AS jaccard FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 op("fn_arrays", lambda q: f"SELECT p_partkey, {q.size(q.split('p_name', ' '))} AS n, {q.has(q.split('p_name', ' '), chr(39) + 'blue' + chr(39))} AS blue FROM part")
 op("fn_truncate", "SELECT doc_id, CASE WHEN length(text) > 120 THEN concat(substring(text, 1, 120), '...') ELSE text END AS shown FROM documents")
 op("fn_mentions", lambda q: f"SELECT p_partkey FROM part WHERE {q.mentions('p_name', repr('widgets'))}")

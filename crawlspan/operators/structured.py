@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonld
-from .checks import CHECKS, Check, span, top_query, win
+from .checks import CHECKS, HTML, Check, D, span, top_query, win
+from .graph import cut
 from ..plans.dialect import SPARK
 
 FRAMES: dict = {}
@@ -103,7 +104,7 @@ def article_no_author(spark):
 
 @frame("stale-content", "merged", "med", "D+G", 5, "per-page", top="clicks")
 def stale_content(spark):
-    year = f"(date <= {'(SELECT max(date) FROM p_sa)'} - INTERVAL 365 DAY)"
+    year = f"(date <= {D} - INTERVAL 365 DAY)"
     s = spark.sql(f"""SELECT page_key AS url_key, sum(CASE WHEN {win(90)} THEN clicks ELSE 0 END) AS c, sum(CASE WHEN {win(90)} THEN impressions ELSE 0 END) AS i, count(CASE WHEN {win(90)} THEN 1 END) AS n,
         sum(CASE WHEN {win(455, 365)} THEN clicks ELSE 0 END) AS pc, sum(CASE WHEN {win(455, 365)} THEN impressions ELSE 0 END) AS pi FROM p_sa WHERE page_key IS NOT NULL AND {span(SPARK, 455)} AND ({win(90)} OR {year}) GROUP BY page_key""")
     s = s.where("n > 0 AND pc >= 50 AND c < 0.75 * pc AND i < 0.85 * pi").join(spark.table("p_pages").where("indexable").select("url_key", "json_ld"), "url_key")
@@ -142,6 +143,20 @@ def prose(texts: list[str]) -> dict | None:
             "sentences": len(lengths), "signals": lexical + even + same, "lexical": lexical, "score": density + 3 * even + 2 * same}
 
 
+def at_rank(values: DataFrame, share: float, parts: int = 64) -> DataFrame:
+    """The value (one column) at place floor(share * n) in order, the last at most. Values are sorted in ranges, of which only one is looked into."""
+    (c,) = values.columns
+    ranged = cut(values.repartitionByRange(parts, c).withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r.part, r["count"]) for r in ranged.groupBy("part").count().collect())
+    n = sum(k for _, k in sizes)
+    at = max(0, min(n - 1, int(n * share)))
+    for part, k in sizes:
+        if at < k:
+            return ranged.where(F.col("part") == part).orderBy(c).offset(at).limit(1).select(c)
+        at -= k
+    return ranged.select(c).limit(0)
+
+
 @frame("ai-slop-signals", "content", "low", "N", 5, "per-page", 0.5, top="score")
 def slop(spark):
     schema = "url_key string, slop_phrases array<string>, lex_density double, sentence_cv double, repeated_opener string, sentences int, signals int, lexical boolean, score double"
@@ -152,8 +167,7 @@ def slop(spark):
             rows = [{"url_key": u, **m} for u, t in zip(b["url_key"], b["texts"], strict=True) if (m := prose([x for x in t if x]))]
             yield pd.DataFrame(rows, columns=names)
 
-    p = spark.table("p_pages").where("status_code = 200 AND indexable AND content_type LIKE '%text/html%' AND word_count >= 300 AND body_chunks IS NOT NULL")
-    m = p.select("url_key", F.transform("body_chunks", lambda c: c["text"]).alias("texts")).mapInPandas(run, schema).where("signals > 0").persist()
-    n = m.count()
-    at = m.select(F.col("score").alias("p90")).orderBy("score").offset(max(0, min(n - 1, int(n * 0.9)))).limit(1)
-    return m.join(F.broadcast(at)).where("signals >= 2 AND lexical AND score >= p90").orderBy(F.desc("score"), "url_key").limit(30).drop("p90", "lexical", "signals")
+    p = spark.table("p_pages").where(f"status_code = 200 AND indexable AND {HTML} AND word_count >= 300 AND body_chunks IS NOT NULL")
+    m = p.select("url_key", F.transform("body_chunks", lambda c: c["text"]).alias("texts")).mapInPandas(run, schema).where("signals > 0")
+    m = cut(m)
+    return m.join(F.broadcast(at_rank(m.select(F.col("score").alias("p90")), 0.9))).where("signals >= 2 AND lexical AND score >= p90").orderBy(F.desc("score"), "url_key").limit(30).drop("p90", "lexical", "signals")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import adhoc, crawl, demand, drift, fixes, graph, pricing, recon, structured, templates
+from ..operators import adhoc, crawl, demand, drift, fixes, graph, pricing, recon, research, structured, templates
 from ..operators.checks import CHECKS
 from ..operators.datasets import DATASETS
 from ..operators.relational import OPS
 from ..sources import adapters, sinks
 from ..streaming import facts
+from . import oracles
 from .dialect import DUCK, SPARK
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,10 +24,11 @@ _AT: list = [None]
 
 
 def ready(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """Views over sf_dir, registered once in a row."""
-    at = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    """Views over sf_dir, made anew when the folder, its files or the session changed since the last call."""
+    at = (spark.sparkContext.applicationId, id(spark), sf_dir, adapters.stamp(spark, sf_dir))
     if _AT[0] != at:
-        adapters.register(spark, sf_dir)
+        name = hashlib.sha256(repr(at).encode()).hexdigest()[:16]
+        adapters.register(spark, sf_dir, f"{graph.shared_dir(spark)}/property-{name}")
         _AT[0] = at
     return spark
 
@@ -55,6 +58,9 @@ for _n, _f in DATASETS.items():
     portable("ds_" + _n, _f)
 for _n, _f in OPS.items():
     portable("op_" + _n, _f)
+# SQL written apart from the builders takes the place of theirs
+ORACLE |= {"chk_" + i.replace("-", "_"): adapters.with_tables(x) for i, x in oracles.CHECKS.items()}
+ORACLE |= {"ds_" + n: adapters.with_tables(x) for n, x in oracles.DATASETS.items()}
 portable("alg_drift", drift.changes)
 portable("alg_drift_staleness", drift.staleness)
 portable("alg_freshness", drift.freshness)
@@ -62,6 +68,9 @@ portable("alg_recon_targets", recon.targets)
 portable("alg_page_state", recon.page_state)
 portable("alg_cluster_rivals", lambda q: recon.cluster_rivals(q, ["blue"]))
 
+portable("alg_passage_bands", research.passage_bands)
+portable("alg_passage_quartiles", research.passage_quartiles)
+
 # audit: all checks run once for a session and folder, and three reports read what they found
 _FOUND: list = [None, None]
 
@@ -101,7 +110,7 @@ framed("alg_sitemap", "SELECT url_key AS url, lastmod FROM p_sitemap")(lambda s:
 # demand
 framed("alg_opportunities")(lambda s: demand.opportunities(s))
 framed("alg_topic_gaps")(lambda s: demand.topic_gaps(s))
-framed("alg_keyword_list")(lambda s: demand.keyword_list(s, s.sql("SELECT DISTINCT keyword FROM p_keywords WHERE volume >= 1000")))
+framed("alg_keyword_list")(lambda s: demand.keyword_list(s, s.sql("SELECT DISTINCT keyword FROM p_keywords")))
 framed("alg_market_size", "SELECT competitor AS domain, count(DISTINCT lower(keyword)) AS keywords, sum(etv) AS etv, sum(etv) * 100 / (SELECT sum(etv) FROM p_keywords) AS share_of_voice FROM p_keywords GROUP BY competitor")(lambda s: demand.market_size(s))
 framed("alg_market_topics")(lambda s: demand.market_topics(s))
 framed("alg_serp_footprint")(lambda s: demand.serp_footprint(s))
@@ -126,7 +135,25 @@ framed("alg_readiness", "SELECT n_name AS origin, CAST(floor(count_if(s_acctbal
     lambda s: sinks.readiness(s.table("supplier").join(s.table("nation"), F.expr("n_nationkey = s_nationkey")).select(F.col("n_name").alias("origin"), F.lit("c").alias("category"), (F.col("s_acctbal") > 0).alias("passed")))
 )
 
+# research
+MONTHLY = """SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, {}, sum(o_totalprice) AS etv FROM (SELECT *, o_orderkey % 100 + 1 AS pos FROM orders) o GROUP BY 1, 2"""
+EDGES = {"pos_1": (1, 1), "pos_2_3": (2, 3), "pos_4_10": (4, 10), "pos_11_20": (11, 20), **{f"pos_{i}1_{i + 1}0": (10 * i + 1, 10 * i + 10) for i in range(2, 9)}, "pos_91_100": (91, 100)}
+framed("alg_rank_history", "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(CASE WHEN pos <= 3 THEN 1 END) AS pos_1_3, count(CASE WHEN pos BETWEEN 4 AND 10 THEN 1 END) AS pos_4_10, count(CASE WHEN pos BETWEEN 11 AND 20 THEN 1 END) AS pos_11_20, count(CASE WHEN pos > 20 THEN 1 END) AS pos_21_100, round(sum(o_totalprice), 2) AS etv, count(*) AS keyword_count FROM (SELECT *, o_orderkey % 100 + 1 AS pos FROM orders) o GROUP BY 1")(
+    lambda s: research.rank_history(s.sql(MONTHLY.format(", ".join(f"count_if(pos BETWEEN {a} AND {z}) AS {n}" for n, (a, z) in EDGES.items())))).withColumn("etv", F.round("etv", 2))
+)
+HOSTS = ("https://www.youtube.com/watch?v=1", "http://m.youtu.be/x", "https://old.reddit.com/r/a", "https://redd.it/b", "https://pimax.com/p", "x.com/post", "https://notreddit.com/", "https://user@vimeo.com:443/9")
+framed("alg_routes", "SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'video' WHEN 1 THEN 'video' WHEN 2 THEN 'reddit' WHEN 3 THEN 'reddit' WHEN 5 THEN 'video' WHEN 7 THEN 'video' ELSE 'page' END AS route FROM supplier")(lambda s: s.table("supplier").select("s_suppkey", research.route(F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("s_suppkey") % 8 + 1).cast("int"))).alias("route")))
+STATED = "SELECT url_key, concat('act ', CAST(k % 3 AS STRING)) AS action, CASE k % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'researching' WHEN 2 THEN 'drafted' WHEN 3 THEN 'shipped' ELSE 'dismissed' END AS status, CAST(k AS DOUBLE) AS priority FROM p_base"
+framed("alg_ledger", """SELECT url_key, 'act ' || (k % 3) AS action, CASE WHEN k % 5 >= 3 THEN CASE k % 5 WHEN 3 THEN 'shipped' ELSE 'dismissed' END WHEN k % 7 = 0 THEN 'shipped' WHEN k % 5 = 0 THEN 'open' WHEN k % 5 = 1 THEN 'researching' ELSE 'drafted' END AS status, CAST(k AS DOUBLE) AS priority,
+    CASE WHEN k % 7 = 0 AND k % 5 < 3 THEN 'live' END AS outcome FROM p_base UNION ALL SELECT url_key, 'act ' || (k % 3), 'open', 1.0, NULL FROM p_base WHERE k % 2 = 0 AND (k % 5 >= 3 OR k % 7 = 0)""")(
+    lambda s: research.add_to_ledger(research.update_ledger(s.sql(STATED), s.sql("SELECT url_key, concat('act ', CAST(k % 3 AS STRING)) AS action, 'shipped' AS status, CAST(NULL AS STRING) AS note, 'live' AS outcome FROM p_base WHERE k % 7 = 0")), s.sql("SELECT url_key, concat('act ', CAST(k % 3 AS STRING)) AS action, CAST(1 AS DOUBLE) AS priority FROM p_base WHERE k % 2 = 0")).select("url_key", "action", "status", "priority", "outcome")
+)
+framed("alg_ledger_board", "SELECT url_key, 1 AS todos, CAST(k AS DOUBLE) AS priority, CASE k % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'researching' ELSE 'drafted' END AS states FROM p_base WHERE k % 5 < 3")(lambda s: research.board(s.sql(STATED)))
+framed("list_checks", f"SELECT count(*) AS checks, count(DISTINCT id) AS ids FROM (VALUES {', '.join(f'({chr(39)}{i}{chr(39)})' for i in sorted(CHECKS))}) t(id)")(lambda s: pricing.metadata(s).agg(F.count(F.lit(1)).alias("checks"), F.countDistinct("check_id").alias("ids")))
+framed("table_sizes", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("p_sa", "p_pages", "p_links")))(lambda s: sinks.table_sizes({t: s.table(t) for t in ("p_sa", "p_pages", "p_links")}))
+
 # ad hoc
+framed("adhoc_paging", "SELECT count(*) AS total, least(50, greatest(0, count(*) - 100)) AS returned, CASE WHEN count(*) > 150 THEN 150 END AS next_offset FROM p_pages WHERE status_code = 200")(lambda s: adhoc.paging(s, "pages", (("status_code", "eq", 200),), 50, 100))
 framed("adhoc_aggregate", "SELECT device, count(*) AS count, CAST(sum(clicks) AS BIGINT) AS sum_clicks, round(avg(position), 2) AS avg_position, floor(count(*) * 1000e0 / (SELECT count(*) FROM p_sa WHERE impressions >= 100) + 0.5) / 10 AS pct FROM p_sa WHERE impressions >= 100 GROUP BY device")(
     lambda s: adhoc.query_data(s, "sa", group_by=("device",), metrics=(("sum", "clicks"), ("avg", "position")), filters=(("impressions", "gte", 100),))
 )

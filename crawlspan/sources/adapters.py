@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from ..plans.dialect import Dialect
 
 RAW = ("region", "lineitem", "orders", "customer", "nation", "part", "supplier", "events", "documents", "pages")
-KEY = "concat('https://site.example/', CASE {k} % 5 WHEN 0 THEN 'blog/post-' WHEN 1 THEN 'product/item-' WHEN 2 THEN 'category/' WHEN 3 THEN 'docs/page/' ELSE 'p-' END, CAST({k} AS STRING), CASE WHEN {k} % 11 = 5 THEN '?color=red&size=2' ELSE '' END)"
+KEY = "concat('https://site.example/', CASE {k} % 5 WHEN 0 THEN 'blog/post-' WHEN 1 THEN 'product/item-' WHEN 2 THEN 'category/' WHEN 3 THEN 'docs/page/' ELSE 'p-' END, CAST({k} AS STRING), CASE WHEN {k} % 11 = 5 THEN '?variant=red&size=2' ELSE '' END)"
 
 
 def key(k: str) -> str:
@@ -37,6 +37,8 @@ def definitions(q: Dialect) -> dict[str, str]:
             CASE WHEN l_partkey % {n} % 15 = 8 THEN 0 ELSE (CAST(l_quantity AS BIGINT) % 7) * 3 END AS clicks, CAST(l_quantity AS BIGINT) * 10 AS impressions, CAST(l_linenumber * 3 - 2 AS DOUBLE) AS position
             FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
             WHERE NOT (l_partkey % {n} % 15 = 7 AND l_shipdate > TIMESTAMP '2001-06-01 00:00:00')""",
+        "p_day": "SELECT max(date) AS day FROM p_sa",
+        "p_brand": "SELECT 'blue' AS brand",
         "p_crawl": "SELECT 'c2' AS crawl_id, 'completed' AS status, CAST(100 AS INT) AS urls_crawled, CAST(NULL AS INT) AS max_pages",
         "p_base": f"""SELECT p_partkey AS k, p_name AS name, p_size, {key('p_partkey')} AS url_key,
             CASE WHEN p_partkey % 23 = 7 THEN 404 WHEN p_partkey % 29 = 8 THEN 301 WHEN p_partkey % 31 = 9 THEN 503 WHEN p_partkey % 37 = 10 THEN NULL ELSE 200 END AS status_code,
@@ -47,7 +49,7 @@ def definitions(q: Dialect) -> dict[str, str]:
             concat({key(f'(l_partkey % {n})')}, CASE WHEN l_partkey % 4 = 0 THEN '#top' ELSE '' END) AS target_url,
             CASE l_orderkey % 4 WHEN 0 THEN 'Read more' WHEN 1 THEN p_name WHEN 2 THEN concat('about ', p_brand) ELSE '(0)' END AS anchor_text, true AS is_internal,
             CASE WHEN l_partkey % {n} % 14 = 9 THEN 'navigation' WHEN l_linenumber % 3 = 0 THEN 'navigation' WHEN l_linenumber % 3 = 1 THEN 'body' ELSE 'footer' END AS placement
-            FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2""",
+            FROM lineitem JOIN part ON p_partkey = l_partkey""",
         "p_inlinks": "SELECT target_key, count(*) AS n FROM p_links WHERE is_internal AND source_key <> target_key GROUP BY target_key",
         "p_pages": f"""SELECT 'c2' AS crawl_id, CASE WHEN k % 43 = 12 THEN replace(url_key, 'https:', 'http:') ELSE url_key END AS url, b.url_key, CAST(b.status_code AS INT) AS status_code, b.content_type,
             CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN '' ELSE 'gzip' END AS content_encoding, CAST(k % 97 * 4000 AS BIGINT) AS bytes, CAST(k % 53 * 40 AS INT) AS response_time_ms, CAST(k % 6 AS INT) AS depth, true AS is_internal,
@@ -78,18 +80,37 @@ def definitions(q: Dialect) -> dict[str, str]:
         "p_entity_edge": "SELECT concat('Q', CAST(k AS STRING)) AS qid, concat('Q', CAST(k + 6 AS STRING)) AS related_qid, CASE WHEN k % 2 = 0 THEN 'subclass' ELSE 'part' END AS relation FROM p_base",
         "p_snapshots": """SELECT 'c1' AS crawl_id, DATE '2001-09-01' AS captured_at, url_key, CAST(CASE WHEN k % 23 = 7 THEN 200 ELSE status_code END AS INT) AS status_code, k % 10 <> 4 AS indexable, CASE WHEN k % 6 = 1 THEN 'Old title' ELSE name END AS title, 'm' AS meta_description, name AS h1, url_key AS canonical_key, k % 19 = 5 AS noindex, CAST(1000 + k AS INT) AS word_count, CASE WHEN k % 8 = 0 THEN 'Product' ELSE '' END AS schema_types FROM p_base WHERE k % 12 <> 1
             UNION ALL SELECT 'c2', DATE '2001-10-01', url_key, CAST(status_code AS INT), k % 10 <> 5, name, CASE WHEN k % 9 = 1 THEN 'changed' ELSE 'm' END, CASE WHEN k % 11 = 1 THEN NULL ELSE name END, canonical_key, noindex, CAST(CASE WHEN k % 25 = 2 THEN 100 ELSE 1000 + k END AS INT), CASE WHEN k % 16 = 0 THEN 'Product' ELSE '' END FROM p_base WHERE k % 12 <> 2""",
-        "p_keywords": f"SELECT CASE l_linenumber % 3 WHEN 0 THEN 'a.example' WHEN 1 THEN 'b.example' ELSE 'site.example' END AS competitor, concat(p_name, CASE l_partkey % 3 WHEN 0 THEN ' kit' WHEN 1 THEN ' price' ELSE '' END) AS keyword, CAST(l_partkey % 90 * 20 AS BIGINT) AS volume, CAST(l_partkey % 25 + 1 AS INT) AS position, concat('https://', CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'site' END, '.example/', CAST(l_partkey AS STRING)) AS url, CAST(l_partkey % 40 AS DOUBLE) AS etv, CASE WHEN l_partkey % 2 = 0 THEN {array(q, chr(39) + 'video' + chr(39), chr(39) + 'organic' + chr(39))} ELSE {array(q, chr(39) + 'ai_overview' + chr(39))} END AS features FROM (SELECT DISTINCT l_linenumber, l_partkey FROM lineitem WHERE l_linenumber <= 3) l JOIN part ON p_partkey = l_partkey",
+        "p_keywords": f"SELECT CASE l_linenumber % 3 WHEN 0 THEN 'a.example' WHEN 1 THEN 'b.example' ELSE 'site.example' END AS competitor, concat(p_name, CASE l_partkey % 3 WHEN 0 THEN ' kit' WHEN 1 THEN ' price' ELSE '' END) AS keyword, CAST(l_partkey % 90 * 20 AS BIGINT) AS volume, CAST(l_partkey % 25 + 1 AS INT) AS position, concat('https://', CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'site' END, '.example/', CAST(l_partkey AS STRING)) AS url, CAST(l_partkey % 40 AS DOUBLE) AS etv, CASE WHEN l_partkey % 2 = 0 THEN {array(q, chr(39) + 'video' + chr(39), chr(39) + 'organic' + chr(39))} ELSE {array(q, chr(39) + 'ai_overview' + chr(39))} END AS features FROM (SELECT DISTINCT l_linenumber, l_partkey FROM lineitem ) l JOIN part ON p_partkey = l_partkey",
     }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the raw tables and of the property made from them."""
+#: Tables that most queries read: written once, where every executor can read them.
+STORED = ("p_sa", "p_day", "p_links", "p_pages")
+
+
+def register(spark: SparkSession, sf_dir: str, at: str) -> None:
+    """Temporary views of the raw tables and of the property made from them; the tables that most queries read are stored below at."""
     from ..plans.dialect import SPARK
 
     for t in RAW:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for name, sql in definitions(SPARK).items():
-        spark.sql(sql).createOrReplaceTempView(name)
+        made = spark.sql(sql)
+        if name in STORED:
+            made.write.mode("overwrite").parquet(f"{at}/{name}")
+            made = spark.read.parquet(f"{at}/{name}")
+        made.createOrReplaceTempView(name)
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Changes when a raw table's files do."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for t in RAW:
+        p = path(f"{sf_dir}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        out += [f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(p)] if fs.exists(p) else [t]
+    return "; ".join(out)
 
 
 def with_tables(sql: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ TABLES = {
 
 
 class Property:
-    """The tables of one property as temporary views; missing tables are empty, missing columns null."""
+    """The tables of one property as temporary views; missing tables are empty, missing columns null. Checks on rivalry of pages and on anchors pass over queries with the brand."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], brand: str | None = None):
         self.spark, self.brand = spark, brand
@@ -43,6 +45,10 @@ class Property:
                 df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
             self.tables[name] = df
             df.createOrReplaceTempView("p_" + name)
+        spark.sql("SELECT max(date) AS day FROM p_sa").createOrReplaceTempView("p_day")
+        # letters and digits only, as queries are matched by whole words
+        name = re.sub("[^a-z0-9]", "", (brand or "").lower())
+        spark.createDataFrame([(name or None,)], "brand string").createOrReplaceTempView("p_brand")
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,8 +23,9 @@ def markdown(df: DataFrame, most: int = 500, cell: int = 120) -> str:
 
 def expired(runs: DataFrame, id_: str, started: str, keep: int = 5) -> DataFrame:
     """The runs beyond the newest ``keep``."""
-    n = F.row_number().over(Window.orderBy(F.desc(started), F.desc(id_)))
-    return runs.select(id_, started).distinct().withColumn("n", n).where(F.col("n") > keep).select(id_)
+    every = runs.select(id_, started).distinct()
+    newest = every.orderBy(F.desc(started), F.desc(id_)).limit(keep)
+    return every.join(F.broadcast(newest), [id_, started], "left_anti").select(id_)
 
 
 def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:

@@ -87,6 +87,33 @@ def test_passages(spark):
     assert keys(spark, "answer-not-front-loaded") == {"late"}
 
 
+def test_brand_is_left_out(spark):
+    """Pages that compete for a query, but not for one with the brand; two titles tell whether they differ on purpose."""
+    import crawlspan.plans.registry as registry
+
+    rows = [fact(q, k, impressions=200, position=p) for q in ("acme chair", "oak chair", "pine desk") for k, p in (("a", 3.0), ("b", 8.0))]
+    pages = [page("a", title="Oak chair for garden rooms"), page("b", title="Oak chair for garden rooms, large")]
+    make = lambda r: spark.createDataFrame(r)
+    Property(spark, {"pages": make(pages), "sa": make(rows)}, brand="Acme!")
+    registry._AT[0] = None
+    got = {r["query"]: r.differentiated for r in structured.build("keyword-cannibalisation", spark).collect()}
+    assert got == {"oak chair": False, "pine desk": False}
+    Property(spark, {"pages": make([pages[0], page("b", title="Lounge seats compared")]), "sa": make(rows)})
+    registry._AT[0] = None
+    assert {r["query"]: r.differentiated for r in structured.build("keyword-cannibalisation", spark).collect()} == {"acme chair": True, "oak chair": True, "pine desk": True}
+
+
+@pytest.mark.parametrize(
+    ("kind", "html"), [("text/html", True), ("Text/HTML; charset=utf-8", True), ("application/xhtml+xml", True), ("application/json", False), ("x/text/html", False), (None, False)]
+)
+def test_media_types_of_html(spark, kind, html):
+    import crawlspan.plans.registry as registry
+
+    Property(spark, {"pages": spark.createDataFrame([("https://s.example/x", 200, kind)], "url_key string, status_code int, content_type string")})
+    registry._AT[0] = None
+    assert (keys(spark, "missing-title") == {"x"}) == html
+
+
 def test_empty_property(spark):
     Property(spark, {})
     import crawlspan.plans.registry as registry
