@@ -16,6 +16,10 @@ def key(k: str) -> str:
     return KEY.format(k=k)
 
 
+#: The words of part names, which queries are made of.
+LOOKS, KINDS = "blue cold hot large new old red small", "anvil bolt gear gizmo plate ring rod widget"
+
+
 def chunk(q: Dialect, heading: str, level: str, text: str) -> str:
     return f"{{'heading': {heading}, 'level': {level}, 'text': {text}}}" if q.duck else f"named_struct('heading', {heading}, 'level', {level}, 'text', {text})"
 
@@ -33,8 +37,8 @@ def definitions(q: Dialect) -> dict[str, str]:
     n = "(SELECT CAST(floor(max(p_partkey) / 8) AS BIGINT) FROM part)"
     ld = lambda t, rest: "concat('{\"@context\":\"https://schema.org\",\"@type\":\"" + t + "\"" + rest + "}')"
     return {
-        "p_sa": f"""SELECT CAST(l_shipdate AS DATE) AS date, CASE WHEN l_partkey % 50 = 3 AND l_shipdate < TIMESTAMP '2001-10-07 00:00:00' THEN concat(p_name, ' classic') ELSE p_name END AS query, {key(f'(l_partkey % {n})')} AS page_key, o_orderpriority AS device, n_name AS country, 'web' AS search_type,
-            CASE WHEN l_partkey % {n} % 15 = 8 THEN 0 ELSE (CAST(l_quantity AS BIGINT) % 7) * 3 END AS clicks, CAST(l_quantity AS BIGINT) * 10 AS impressions, CAST(l_linenumber * 3 - 2 AS DOUBLE) AS position
+        "p_sa": f"""SELECT CAST(l_shipdate AS DATE) AS date, CASE WHEN l_partkey % 50 = 3 AND l_shipdate < TIMESTAMP '2001-10-07 00:00:00' THEN concat(p_name, ' classic') WHEN l_partkey % 50 = 7 THEN concat('velvet ', CASE l_partkey % 3 WHEN 0 THEN 'cushion' WHEN 1 THEN 'cushion set' ELSE 'curtain' END) WHEN l_partkey % {n} % 17 = 6 THEN concat('best ', p_name) ELSE p_name END AS query, {key(f'(l_partkey % {n})')} AS page_key, o_orderpriority AS device, n_name AS country, 'web' AS search_type,
+            CASE WHEN l_partkey % {n} % 15 = 8 THEN 0 ELSE (CAST(l_quantity AS BIGINT) % 7) * 3 END AS clicks, CAST(l_quantity AS BIGINT) * 10 AS impressions, CAST(CASE WHEN l_partkey % 50 = 7 THEN 16 ELSE l_linenumber * 3 - 2 END AS DOUBLE) AS position
             FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
             WHERE NOT (l_partkey % {n} % 15 = 7 AND l_shipdate > TIMESTAMP '2001-06-01 00:00:00')""",
         "p_day": "SELECT max(date) AS day FROM p_sa",
@@ -47,7 +51,7 @@ def definitions(q: Dialect) -> dict[str, str]:
             FROM part WHERE p_partkey < {n} AND p_partkey % 7 <> 3""",
         "p_links": f"""SELECT {key(f'((l_suppkey * 3 + l_linenumber) % {n})')} AS source_key, {key(f'(l_partkey % {n})')} AS target_key,
             concat({key(f'(l_partkey % {n})')}, CASE WHEN l_partkey % 4 = 0 THEN '#top' ELSE '' END) AS target_url,
-            CASE l_orderkey % 4 WHEN 0 THEN 'Read more' WHEN 1 THEN p_name WHEN 2 THEN concat('about ', p_brand) ELSE '(0)' END AS anchor_text, true AS is_internal,
+            CASE WHEN l_partkey % {n} % 15 = 3 THEN concat('see note ', CAST(l_orderkey % 1000 AS STRING)) ELSE CASE l_orderkey % 4 WHEN 0 THEN 'Read more' WHEN 1 THEN p_name WHEN 2 THEN concat('about ', p_brand) ELSE '(0)' END END AS anchor_text, true AS is_internal,
             CASE WHEN l_partkey % {n} % 14 = 9 THEN 'navigation' WHEN l_linenumber % 3 = 0 THEN 'navigation' WHEN l_linenumber % 3 = 1 THEN 'body' ELSE 'footer' END AS placement
             FROM lineitem JOIN part ON p_partkey = l_partkey""",
         "p_inlinks": "SELECT target_key, count(*) AS n FROM p_links WHERE is_internal AND source_key <> target_key GROUP BY target_key",
@@ -61,15 +65,18 @@ def definitions(q: Dialect) -> dict[str, str]:
             CASE WHEN k % 8 = 0 THEN NULL WHEN k % 8 = 1 THEN 'Welcome to our shop' ELSE name END AS h1, CAST(CASE WHEN k % 8 = 0 THEN 0 WHEN k % 12 = 3 THEN 2 ELSE 1 END AS INT) AS h1_count, CAST(k % 5 AS INT) AS h2_count, CAST(CASE WHEN k % 10 = 2 THEN 1 ELSE 0 END AS INT) AS heading_skips,
             CAST(k * 37 % 3100 AS INT) AS word_count, CASE WHEN k % 15 = 0 THEN NULL ELSE 'en' END AS lang, canonical_key AS canonical_url, canonical_key, CAST(CASE WHEN k % 47 = 5 THEN 2 ELSE 1 END AS INT) AS canonical_count, k % 51 = 3 AS canonical_relative,
             CASE WHEN k % 21 = 4 THEN 'index, NoFollow' WHEN k % 21 = 5 THEN 'max-image-preview: none' ELSE NULL END AS robots, CAST(NULL AS STRING) AS x_robots_tag, CASE WHEN k % 33 = 6 THEN NULL ELSE 'width=device-width' END AS viewport,
-            CASE k % 6 WHEN 0 THEN {array(q, ld('Article', ',"headline":"h","datePublished":"2000-05-01","dateModified":"2000-04-01"'))} WHEN 1 THEN {array(q, ld('Product', ',"name":"n","offers":{"price":"$10"}'))}
-                WHEN 2 THEN {array(q, ld('FAQPage', ''), "'{bad,}'")} WHEN 3 THEN {array(q, ld('BreadcrumbList', ',"itemListElement":[]'))} ELSE NULL END AS json_ld, k % 20 = 5 AS has_microdata, false AS has_rdfa,
+            CASE k % 6 WHEN 0 THEN {array(q, ld('Article', ',"headline":"h","datePublished":"2000-05-01","dateModified":"2000-04-01"'), ld('BreadcrumbList', ',"itemListElement":[]'))} WHEN 1 THEN {array(q, ld('Product', ',"name":"n","offers":{"price":"$10"}'))}
+                WHEN 2 THEN {array(q, ld('FAQPage', ''), "'{bad,}'")} WHEN 5 THEN NULL ELSE {array(q, ld('BreadcrumbList', ',"itemListElement":[]'))} END AS json_ld, k % 20 = 5 AS has_microdata, false AS has_rdfa,
             CAST(k % 3 AS INT) AS og_tags, CAST(k % 2 AS INT) AS twitter_tags,
             CASE WHEN k % 9 = 1 THEN {array(q, struct(q, lang="'de'", href_key=key('(k + 9)')), struct(q, lang="'x-default'", href_key=key('(k + 1)')))} WHEN k % 9 = 2 THEN {array(q, struct(q, lang="'fr'", href_key=key('(k + 5)')))} ELSE NULL END AS hreflang,
             CASE WHEN k % 16 = 3 THEN {array(q, struct(q, **{"from": key('(k + 2)'), "to": key('(k + 3)'), "status": "CAST(301 AS INT)"}), struct(q, **{"from": key('(k + 3)'), "to": "b.url_key", "status": "CAST(302 AS INT)"}))} WHEN k % 16 = 4 THEN {array(q, struct(q, **{"from": key('(k + 1)'), "to": "b.url_key", "status": "CAST(301 AS INT)"}))} ELSE NULL END AS redirects,
             CAST(k * 7 % 350 AS INT) AS internal_links, CAST(k % 12 AS INT) AS external_links, CAST(k % 10 AS INT) AS image_count, CAST(CASE WHEN k % 10 > 7 THEN 2 ELSE 0 END AS INT) AS images_without_alt, CAST(CASE WHEN k % 10 = 6 THEN 3 ELSE 0 END AS INT) AS images_missing_dimensions,
             false AS rel_next, k % 44 = 7 AS rel_prev, CAST(CASE WHEN k % 26 = 5 THEN 4 ELSE 0 END AS INT) AS mixed_content_count, k % 2 = 0 AS has_hsts, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 3 = 2 END AS has_favicon, CASE WHEN k % 5 = 0 THEN NULL ELSE false END AS has_analytics, CASE WHEN k % 12 = 0 THEN false END AS conditional_304,
             CAST(CASE WHEN k % 9 = 4 THEN 0 WHEN k % 9 = 5 THEN 2 ELSE coalesce(i.n, 0) END AS INT) AS inlink_count, CAST(k * 31 % 101 AS INT) AS ipr, CAST(CASE WHEN k % 18 = 5 THEN NULL ELSE k % 7 END AS INT) AS click_depth, CASE WHEN k % 4 = 1 THEN CAST(k % 9 AS DOUBLE) END AS max_passage_score, name AS max_passage_query, CAST(k AS BIGINT) AS max_passage_impr,
-            CASE WHEN k % 13 = 2 THEN NULL ELSE {array(q, chunk(q, "'Intro'", 'CAST(1 AS INT)', "'It is a start and this text has well over sixty characters in it for sure.'"), chunk(q, 'name', 'CAST(2 AS INT)', "concat('They say that ', CASE WHEN k % 2 = 0 THEN name ELSE 'nothing' END, ' is worth some sixty characters of running text, more or less.')"), chunk(q, "'More'", 'CAST(k % 4 AS INT)', "concat('Details follow here on ', CASE WHEN k % 3 = 0 THEN name ELSE 'the rest' END, ' with enough words to count as a passage of text.')"))} END AS body_chunks
+            CASE WHEN k % 13 = 2 THEN NULL WHEN k % 17 = 6 THEN {array(q, chunk(q, "'Intro'", 'CAST(1 AS INT)', "'Welcome to this page.'"), chunk(q, "'More'", 'CAST(2 AS INT)', "'Words that lead nowhere yet.'"), chunk(q, "'All'", 'CAST(2 AS INT)', f"'{LOOKS} {KINDS}'"))}
+                WHEN k % 11 = 4 THEN {array(q, chunk(q, "'Intro'", 'CAST(1 AS INT)', "'Welcome to this page.'"), chunk(q, "'Looks'", 'CAST(2 AS INT)', f"'{LOOKS}'"), chunk(q, "'Kinds'", 'CAST(2 AS INT)', f"'{KINDS}'"))}
+                WHEN k % 19 = 7 THEN {array(q, *[chunk(q, f"'Part {i}'", 'CAST(2 AS INT)', "repeat('When it comes to value, it is important to note that we delve into a wide range of ideas. ', 4)") for i in range(6)])}
+                ELSE {array(q, chunk(q, "'Intro'", 'CAST(1 AS INT)', "'It is a start and this text has well over sixty characters in it for sure.'"), chunk(q, 'name', 'CAST(2 AS INT)', "concat('They say that ', CASE WHEN k % 2 = 0 THEN name ELSE 'nothing' END, ' is worth some sixty characters of running text, more or less.')"), chunk(q, "'More'", 'CAST(k % 4 AS INT)', "concat('Details follow here on ', CASE WHEN k % 3 = 0 THEN name ELSE 'the rest' END, ' with enough words to count as a passage of text.')"))} END AS body_chunks
             FROM p_base b LEFT JOIN p_inlinks i ON i.target_key = b.url_key""",
         "p_inspection": "SELECT url_key, CASE k % 4 WHEN 0 THEN 'Crawled - currently Not Indexed' ELSE 'Submitted and indexed' END AS coverage_state, CASE WHEN k % 10 = 4 THEN 'SOFT_404' ELSE 'SUCCESSFUL' END AS page_fetch_state, url_key AS google_canonical, CASE WHEN k % 15 = 2 THEN 'https://other.example/' WHEN k % 15 = 3 THEN NULL ELSE url_key END AS user_canonical, 'FAIL' AS verdict, CASE WHEN k % 12 = 2 THEN '{\"detectedItems\":[{\"richResultType\":\"Product\",\"items\":[{\"name\":\"a\",\"issues\":[{\"issueMessage\":\"no price\",\"severity\":\"ERROR\"}]},{\"name\":\"b\",\"issues\":[{\"issueMessage\":\"no price\",\"severity\":\"ERROR\"},{\"issueMessage\":\"no image\",\"severity\":\"WARNING\"}]}]}]}' END AS rich_results FROM p_base WHERE k % 2 = 0",
         "p_backlinks": "SELECT url_key, CAST(k % 5 AS INT) AS backlinks, CAST(k % 3 AS INT) AS referring_domains, CAST(status_code AS INT) AS status_code, CAST(CASE WHEN k % 4 = 0 THEN NULL ELSE k % 60 END AS INT) AS trust_flow FROM p_base WHERE k % 3 <> 0",

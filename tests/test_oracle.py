@@ -16,6 +16,15 @@ def test_matches_oracle(spark, data, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([d[0] for d in want.description], want.fetchall())
 
 
+SEEDED = "chk_rag_answer_gap chk_answer_not_front_loaded chk_anchor_text_incoherent chk_breadcrumb_schema_inconsistent chk_ai_slop_signals alg_opportunities chk_indexed_junk_url".split()
+
+
+@pytest.mark.parametrize("name", SEEDED)
+def test_shows_something(spark, name):
+    """At a size at which the property has pages for every rule."""
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLE and not n.startswith(SLOW)))
 def test_runs(spark, data, name):
     df = QUERIES[name](spark, data)
