@@ -79,13 +79,13 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
-def profile(batches):
+def profile(batches, local: int = LOCAL):
     """kind 0: a row's set size, identity and bit map; kind 1: a shingle's count in a block, if it is locally frequent."""
     held, total = [], 0
 
     def flush():
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        h, n = signed(h[n >= LOCAL]), n[n >= LOCAL]
+        h, n = signed(h[n >= local]), n[n >= local]
         return pd.DataFrame({"kind": 1, "doc_id": None, "tkey": 0, "n": n, "a": h, "bits": None})
 
     for b in batches:
@@ -128,7 +128,7 @@ def prefixes(frequent):
     return run
 
 
-def runs(batches):
+def runs(batches, run: int = RUN):
     """Rows sorted by key, then fewest rare shingles. kind 0: candidate pairs (a < b); kind 1: the rows (a, key) of long runs."""
 
     def pairs(lo, hi):
@@ -156,19 +156,19 @@ def runs(batches):
             leader = None
         end = len(key)
         goes_on = leader is not None
-        if not last and size[-1] <= RUN and not (goes_on and len(start) == 1):
+        if not last and size[-1] <= run and not (goes_on and len(start) == 1):
             end = start[-1]  # wait for the rest of the last run
         rest = pd.DataFrame({"key": key[end:], "a": a[end:], "n": n[end:], "own": own[end:], "rare": 0})
         key, a, n, own = key[:end], a[:end], n[:end], own[:end]
         if not end:
             return out
         start, size = start[start < end], size[start < end]
-        long = size > RUN
+        long = size > run
         long[0] |= goes_on
         of = np.repeat(np.arange(len(start)), size)
         at = np.arange(end) - start[of]
         is_long = long[of]
-        for lag in range(1, int(min(RUN, size[~long].max(initial=0)))):
+        for lag in range(1, int(min(run, size[~long].max(initial=0)))):
             i = np.flatnonzero((at >= lag) & ~is_long)
             if not len(i):
                 break
@@ -243,15 +243,16 @@ class Join:
         spark = docs.sparkSession
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.src = python_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-        got = cut(self.src.mapInPandas(profile, f"kind int, doc_id {kind}, tkey long, n long, a long, bits binary"))
+        run, local = RUN, LOCAL  # as arguments, so that workers have them as they are here
+        got = cut(self.src.mapInPandas(lambda b: profile(b, local), f"kind int, doc_id {kind}, tkey long, n long, a long, bits binary"))
         self.rows = got.where("kind = 0").select("doc_id", "tkey", "n", "a")
         self.maps = got.where("kind = 0 and n > 0").groupBy("a").agg(F.first("bits").alias("bits"), F.min("tkey").alias("tkey"))
         # at most the mean set size times blocks' share: see README for its bound
         hot = got.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(FREQUENT_MOST).select("a")
-        hot = np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))
+        hot = np.sort(hot.toArrow().column(0).to_numpy().view(np.uint64))  # as Arrow: no object per row on the driver
         keys = self.src.select("text").where(F.col("text").isNotNull()).mapInPandas(prefixes(spark.sparkContext.broadcast(hot)), "key long, a long, n int, own int, rare int")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = keys.repartition(parts, "key").sortWithinPartitions("key", "rare", "a").mapInPandas(runs, "kind int, a long, b long, n int, m int")
+        found = keys.repartition(parts, "key").sortWithinPartitions("key", "rare", "a").mapInPandas(lambda b: runs(b, run), "kind int, a long, b long, n int, m int")
         self.found = cut(found.distinct())
         self.long = self.found.where("kind = 1").select("a", F.col("b").alias("key"), "n", F.col("m").alias("own"))
 

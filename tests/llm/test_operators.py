@@ -268,7 +268,6 @@ def test_join_matches_all_pairs(spark, monkeypatch, run, local, frequent):
             texts[len(texts) + 1] = " ".join(w) + (f" {line}" if base % 2 else "")
     texts |= {900: None, 901: "", 902: "one two", 903: "ONE two", 904: "one two three"}
     df = frame(spark, [(d, t, None, None) for d, t in texts.items()])
-    # functions sent to workers carry patched values only for what runs on the driver, so runs() is tried here, too
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join_near(df).collect()}
     assert got == plain_components(texts)
 
