@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ..plans.dialect import Dialect
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.dialect import SPARK, Dialect
 from .checks import D, EST, HTML, WPOS, paged, win
 
 DATASETS: dict = {}
@@ -126,7 +131,14 @@ dataset("date_alignment")(lambda q: f"SELECT greatest(min(date), CAST('2000-01-0
 dataset("link_prospects")(lambda q: "SELECT competitor AS domain, count(*) AS keywords, CAST(max(volume) AS BIGINT) AS max_volume, sum(etv) AS etv FROM p_keywords GROUP BY competitor ORDER BY keywords DESC, domain LIMIT 100")
 
 
-@dataset("payload")
-def payload(q: Dialect):
-    """Every dataset's name and number of rows: the dashboard in one statement, over the stored facts."""
-    return " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n FROM ({f(q)}) d_{n}" for n, f in DATASETS.items() if n != "payload")
+@dataset("payload_counts")
+def payload_counts(q: Dialect):
+    """Every dataset's name and number of rows in one statement."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n FROM ({f(q)}) d_{n}" for n, f in DATASETS.items() if n != "payload_counts")
+
+
+def payload(spark) -> DataFrame:
+    """dataset, body: every row of every dataset as JSON, the whole dashboard as one plan over the stored facts."""
+    parts = [spark.sql(f(SPARK)) for n, f in DATASETS.items() if n != "payload_counts"]
+    names = [n for n in DATASETS if n != "payload_counts"]
+    return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("dataset"), F.to_json(F.struct(*p.columns)).alias("body")) for n, p in zip(names, parts, strict=True)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import adhoc, crawl, demand, drift, fixes, graph, pricing, recon, research, structured, templates
 from ..operators.checks import CHECKS
-from ..operators.datasets import DATASETS
+from ..operators.datasets import DATASETS, payload
 from ..operators.relational import OPS
 from ..sources import adapters, sinks
 from ..streaming import facts
@@ -61,6 +61,7 @@ for _n, _f in OPS.items():
 # SQL written apart from the builders takes the place of theirs
 ORACLE |= {"chk_" + i.replace("-", "_"): adapters.with_tables(x) for i, x in oracles.CHECKS.items()}
 ORACLE |= {"ds_" + n: adapters.with_tables(x) for n, x in oracles.DATASETS.items()}
+framed("ds_payload")(payload)
 portable("alg_drift", drift.changes)
 portable("alg_drift_staleness", drift.staleness)
 portable("alg_freshness", drift.freshness)

@@ -131,6 +131,22 @@ def test_graph(spark):
     assert {r.url_key: r.click_depth for r in graph.click_depth(p, e, "nowhere").collect()}["a"] == 0
 
 
+def test_payload_holds_every_dataset(spark, data):
+    import json
+
+    from crawlspan.operators.datasets import DATASETS, payload
+    from crawlspan.plans.dialect import SPARK
+
+    s = ready(spark, data)
+    got = {}
+    for r in payload(s).collect():
+        got.setdefault(r.dataset, []).append(json.loads(r.body))
+    for name in ("summary", "top_keywords", "crawl_health", "link_flows"):
+        want = [json.loads(x) for x in s.sql(DATASETS[name](SPARK)).toJSON().collect()]
+        assert sorted(map(str, got[name])) == sorted(map(str, want)), name
+    assert len(got) > 15
+
+
 def test_adhoc_rejects(spark, data):
     s = ready(spark, data)
     for bad in (dict(table="secrets"), dict(table="sa", group_by=("nope",)), dict(table="sa", metrics=(("sum", "query"),)), dict(table="sa", limit=501), dict(table="sa", filters=(("clicks", "drop", 1),)), dict(table="sa", group_by=("device",), order_by="x; DROP")):
