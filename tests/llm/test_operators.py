@@ -566,6 +566,29 @@ def test_passages_around_a_frequent_stretch_are_found(spark):
         assert any(s.start <= 80 and s.end >= 131 and s.other == d ^ 1 for s in x.spans), d
 
 
+def test_near_copies_in_long_runs_are_found(spark):
+    """Many texts share a stretch too short to be a passage; pairs of them are near copies around it, at neither end of the run."""
+    r = random.Random(31)
+    vocab = [f"v{i}" for i in range(4000)]
+    hot = prose(r, 40, vocab)
+    rows = []
+    for i in range(60):
+        before, after = prose(r, 20, vocab), prose(r, 40, vocab)
+        for k in (0, 1):
+            words = f"{before} {hot} {after}".split()
+            words[(5, 90)[k]] = f"other{i}"  # each copy differs from its twin in one word, far from the hot stretch
+            rows.append((2 * i + k, " ".join(words), "en", "a"))
+    docs = frame(spark, rows)
+    found = {run: {x.doc_id: x for x in substring_dedup.repeated_passages(docs, run).collect()} for run in (1, 4, 10_000)}
+    # four hash functions of which two must agree miss a near pair at times; a long run must miss none beside
+    assert len(found[10_000]) >= 0.95 * len(rows)
+    for run in (1, 4):
+        assert found[run].keys() == found[10_000].keys()
+        twins = {i for i, x in found[run].items() if any(p == i ^ 1 for p in x.partners)}
+        most = {i for i, x in found[10_000].items() if any(p == i ^ 1 for p in x.partners)}
+        assert len(twins) >= 0.9 * len(most)
+
+
 def test_hot_stretches_pair_every_place_with_another_class(spark, monkeypatch):
     r = random.Random(23)
     rows = sorted({(h, r.randrange(3 + 9 * h), r.randrange(1000)) for h in range(4) for _ in range(90)} | {(9, 5, i) for i in range(50)})
