@@ -71,9 +71,12 @@ def learnable(doc_id: Column) -> Column:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * MIX1
-    h = (h ^ (h >> np.uint64(27))) * MIX2
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= MIX1
+    h ^= h >> np.uint64(27)
+    h *= MIX2
+    h ^= h >> np.uint64(31)
+    return h
 
 
 _POW: dict[str, np.ndarray] = {}
@@ -122,8 +125,7 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
 
 def lower_ascii(text: str) -> np.ndarray:
     """UTF-8 bytes with A-Z lower-cased and nothing else changed."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
