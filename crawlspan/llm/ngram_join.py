@@ -8,8 +8,9 @@ order is cut into fragments, overlaps are counted fragment by fragment, and summ
 Rows with the same set are one class throughout. Runs of one shingle are streamed in order; of a run of
 more than ``RUN`` classes, only the pairs with its first class (the one with fewest rare shingles) are
 candidates at once. The rest of such runs is settled exactly afterwards: pairs are needed only between
-classes that components still hold apart, and, in a run of a frequent shingle, only if both sets have
-enough frequent shingles for the overlap (had they a rare one in common, its own run has the pair).
+classes that components still hold apart. The classes of such runs are joined again by themselves, with
+their shingles ordered by exact counts among them, and a pair is compared only if the shingles from the
+first one they share onwards are enough for the overlap.
 Which shingles count as frequent only moves work around; results don't depend on it.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, python_batches, shingle_hashes, signed, word_hashes
@@ -228,6 +229,15 @@ def fragments(batches):
         yield pd.DataFrame(out, columns=["a", "f", "part"])
 
 
+def members(batches):
+    """Texts -> one row (identity and size of the set, shingle) for each shingle of their sets."""
+    for b in batches:
+        sets = [s for s in map(shingle_set, b["text"]) if len(s)]
+        if sets:
+            size = np.array([len(s) for s in sets], np.int32)
+            yield pd.DataFrame({"a": np.repeat([identity(s) for s in sets], size), "n": np.repeat(size, size), "key": signed(np.concatenate(sets))})
+
+
 def overlaps(batches):
     for b in batches:
         n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b["part_a"], b["part_b"], strict=True)]
@@ -254,7 +264,7 @@ class Join:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         found = keys.repartition(parts, "key").sortWithinPartitions("key", "rare", "a").mapInPandas(lambda b: runs(b, run), "kind int, a long, b long, n int, m int")
         self.found = cut(found.distinct())
-        self.long = self.found.where("kind = 1").select("a", F.col("b").alias("key"), "n", F.col("m").alias("own"))
+        self.long = self.found.where("kind = 1").select("a", F.col("b").alias("key"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose bit maps differ in no more places than linked sets can."""
@@ -272,22 +282,42 @@ class Join:
         sums = counted.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
         return sums.where(F.col("shared") >= sql_needed(F.col("n") + F.col("m"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    def apart(self, roots: DataFrame) -> DataFrame:
+        """Pairs of classes of long runs that components hold apart and that may link.
+
+        Two classes of a long run that link are both among its rows, so the join is done again on these
+        alone, with their shingles ordered by exact counts among them: what a long run's texts have in
+        common comes last, and a run holds classes that agree on their rarest shared shingles.
+        """
+        runs_ = self.long.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        open_ = runs_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        ids = cut(runs_.join(open_, "key", "left_semi").select("a", "root").distinct())
+        texts = self.maps.join(ids, "a").select("tkey")
+        sets = self.src.join(_small(cut(texts)), "tkey", "left_semi").dropDuplicates(["tkey"]).select("text").mapInPandas(members, "a long, n int, key long")
+        # a shingle that one class has links nothing; its place in the order is before all others
+        shared = sets.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
+        shared = shared.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("times", "key")))
+        # left: how many shingles two classes can share at most if this is the first they share
+        left = (F.count(F.lit(1)).over(Window.partitionBy("a")) - F.col("place") + 1).cast("int")
+        keys = shared.select("key", "a", "n", left.alias("left")).where(F.col("left") * SIMILAR[1] >= F.col("n") * SIMILAR[0])
+        keys = cut(keys).join(ids.select("a", "root"), "a")
+        by = keys.groupBy("key", "root").count()
+        main = by.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        keys = cut(keys.join(main, "key"))
+        few = keys.where("root <> main").select("key", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("left").alias("left_x"), F.col("root").alias("root_x"))
+        total = F.col("n") + F.col("n_x")
+        pairs = few.join(keys, "key").where((F.col("root") != F.col("root_x")) & (F.least("left", "left_x") >= sql_needed(total)) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("x"))))
+        low, high = F.struct(F.col("a").alias("a"), F.col("n").alias("n")), F.struct(F.col("x").alias("a"), F.col("n_x").alias("n"))
+        pairs = pairs.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h"))
+        return pairs.select(F.col("l.a").alias("a"), F.col("h.a").alias("b"), F.col("l.n").alias("n"), F.col("h.n").alias("m")).distinct()
+
     def classes(self) -> DataFrame:
         """(a, root) of the classes that link to others."""
         edges = cut(self.links(cut(self.near(self.found.where("kind = 0").select("a", "b", "n", "m")))))
         if self.long.isEmpty():
             return components(edges)
         roots = cut(components(edges))
-        runs_ = self.long.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-        by = runs_.groupBy("key", "root").count()
-        main = by.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        runs_ = cut(runs_.join(main, "key"))
-        few = runs_.where("root <> main").select("key", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"), F.col("root").alias("root_x"))
-        total = F.col("n") + F.col("n_x")
-        apart = few.join(runs_, "key").where((F.col("root") != F.col("root_x")) & (F.least("own", "own_x") >= sql_needed(total)) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("x"))))
-        low, high = F.struct(F.col("a").alias("a"), F.col("n").alias("n")), F.struct(F.col("x").alias("a"), F.col("n_x").alias("n"))
-        apart = apart.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h")).select(F.col("l.a").alias("a"), F.col("h.a").alias("b"), F.col("l.n").alias("n"), F.col("h.n").alias("m")).distinct()
-        more = cut(self.near(apart))
+        more = cut(self.near(self.apart(roots)))
         if more.isEmpty():
             return roots.select("node", "root")
         return components(edges.unionByName(self.links(more)))

@@ -272,6 +272,25 @@ def test_join_matches_all_pairs(spark, monkeypatch, run, local, frequent):
     assert got == plain_components(texts)
 
 
+def test_long_runs_that_stay_apart_are_settled_without_all_pairs(spark, monkeypatch):
+    """Texts with a passage in common that no block shows to be frequent; a few link with one of the others."""
+    for k, v in (("RUN", 8), ("LOCAL", 10**9)):
+        monkeypatch.setattr(ngram_join, k, v)
+    r = random.Random(11)
+    common = prose(r, 40)
+    own = [[f"{i}w{k}" for k in range(60)] for i in range(150)]
+    texts = {i: f"{' '.join(w)} {common}" for i, w in enumerate(own)}
+    for i in range(0, 150, 10):
+        w = list(own[i])
+        w[30] = "changed"
+        texts[1000 + i] = f"{' '.join(w)} {common}"
+    near, compared = ngram_join.Join.near, []
+    monkeypatch.setattr(ngram_join.Join, "near", lambda self, pairs: compared.append(pairs.count()) or near(self, pairs))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join_near(frame(spark, [(d, t, None, None) for d, t in texts.items()])).collect()}
+    assert got == plain_components(texts)
+    assert len(compared) == 2 and compared[1] <= 2 * len(texts)
+
+
 def test_runs_pair_up_everything_short_and_leaders_of_long():
     import pandas as pd
 
