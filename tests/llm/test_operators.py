@@ -608,6 +608,15 @@ def test_near_copies_in_long_runs_are_found(spark):
         assert len(twins) >= 0.9 * len(most)
 
 
+def test_runs_within_the_limit_give_all_pairs_however_batches_fall(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(substring_dedup, "GATHERED", 1000)
+    n = 5300
+    f = pd.DataFrame({"key": np.int64(8), "a": np.arange(n), "sides": np.int64(0), "reach": np.int64(30 << 32 | 30), "c": np.int32(40)})
+    assert sum(len(x) for x in substring_dedup.pair_up((f[i : i + 500] for i in range(0, n, 500)), 10_000)) == n * (n - 1) // 2
+
+
 def test_hot_stretches_pair_every_place_with_another_class(spark, monkeypatch):
     r = random.Random(23)
     rows = sorted({(h, r.randrange(3 + 9 * h), r.randrange(1000)) for h in range(4) for _ in range(90)} | {(9, 5, i) for i in range(50)})
